@@ -19,7 +19,10 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_MASK = 2**64 - 1
+#: What separates words of letters (bytes of other alphabets count as letters).
+NO_LETTER = np.ones(256, bool)
+NO_LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = False
+
 _MULT = 0x9E3779B97F4A7C15
 _SALT = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -140,12 +143,15 @@ def gram_hash(data: np.ndarray, n: int) -> np.ndarray:
         block, width = wider, width * 2
 
 
-def words(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Begin and end of every word [^\\x20\\x09-\\x0D]+, and how many words stand before each text; words don't cross texts."""
+def words(data: np.ndarray, starts: np.ndarray, between: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begin and end of every word [^\\x20\\x09-\\x0D]+, and how many words stand before each text; words don't cross texts.
+
+    between: which bytes separate words.
+    """
     n = len(data)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(starts), np.int64)
-    word = ~SPACE[data]
+    word = ~between[data]
     begin = word.copy()
     begin[1:] &= ~word[:-1]
     inner = starts[(starts > 0) & (starts < n)]
