@@ -25,6 +25,13 @@ from .learn import fitted, labelled_sample
 TRAIN_ROWS = 8000
 THRESHOLD = 0.7
 BITS = 18
+STEM = 5
+TURNS = 12
+RATE = 2.0
+#: Training documents that a word must occur in.
+LEAST_DOCUMENTS = 5
+#: What each turn takes from every weight.
+SHRINK = 0.3
 
 _STOP = np.ones(256, bool)
 _STOP[list(b".!?\n")] = False
@@ -35,6 +42,8 @@ def _sentences(low: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
     b, e, before = words(low, starts, NO_LETTER)
     slots = (word_hash(low, b, e) >> np.uint64(64 - BITS)).astype(np.int64)
     owner = np.searchsorted(before, np.arange(len(b)), "right") - 1
+    # a word also counts as its stem, its first bytes
+    stem = (word_hash(low, b, np.minimum(e, b + STEM)) >> np.uint64(64 - BITS)).astype(np.int64) ^ 1
     stops = np.zeros(len(low) + 1, np.int64)
     np.cumsum(~_STOP[low], out=stops[1:])
     group = stops[b]
@@ -43,6 +52,7 @@ def _sentences(low: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
     sentence = np.cumsum(new) - 1
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(b))[: len(first)] - 1
+    slots, sentence = np.concatenate([slots, stem]), np.concatenate([sentence, sentence])
     return slots, sentence, b[first] if len(b) else b, e[last] if len(b) else e, owner[first] if len(b) else owner
 
 
@@ -59,28 +69,35 @@ def fit(table: pa.Table) -> bytes:
     rows = []
     for a, b in pieces(starts, 1 << 20):
         slots, sentence, _, _, text = _sentences(low[starts[a] : starts[b]], starts[a : b + 1] - starts[a])
+        # a word counts once in a sentence
+        pairs = np.unique((sentence.astype(np.int64) << BITS) | slots)
         for i in range(b - a):
-            lo, hi = np.searchsorted(text, [i, i + 1])
-            p, q = np.searchsorted(sentence, [lo, hi])
-            # a word counts once in a sentence
-            pair = np.unique(((sentence[p:q] - lo) << BITS) | slots[p:q])
+            lo, hi = map(int, np.searchsorted(text, [i, i + 1]))
+            p, q = np.searchsorted(pairs, [lo << BITS, hi << BITS])
+            pair = pairs[p:q] - (lo << BITS)
             rows.append((pair & ((1 << BITS) - 1), pair >> BITS, hi - lo))
-    weights, grown, bias = np.zeros(1 << BITS), np.full(1 << BITS, 1e-2), -4.0
+    # a word of fewer documents explains a label by chance; it keeps the weight 0
+    seen = np.bincount(np.concatenate([np.unique(at) for at, _, _ in rows]), minlength=1 << BITS)
+    rows = [(at[own_ok], own[own_ok], n) for at, own, n in rows for own_ok in [seen[at] >= LEAST_DOCUMENTS]]
+    weights, grown, bias, grown_bias = np.zeros(1 << BITS), np.full(1 << BITS, 0.3), -7.0, 10.0
     rng = np.random.default_rng(8)
-    for turn in range(8):
+    for _ in range(TURNS):
         for i in rng.permutation(len(rows)):
             at, own, n = rows[i]
             if not n:
                 continue
             s = _sigmoid(np.bincount(own, weights[at], n) + bias)
             safe = np.exp(np.log1p(-np.minimum(s, 1 - 1e-12)).sum())
-            # d log-likelihood / d z of each sentence
-            g = s * min(safe / max(1 - safe, 1e-9), 20.0) if y[i] else -s
-            gw = np.clip(g[own], -1, 1)
-            keep = np.abs(gw) > 1e-4
-            np.add.at(grown, at[keep], gw[keep] ** 2)
-            np.add.at(weights, at[keep], 0.5 * gw[keep] / np.sqrt(grown[at[keep]]))
-        weights -= 1e-3 * np.sign(weights) * np.minimum(np.abs(weights), 1) * (turn < 7)
+            # d log-likelihood / d z of each sentence, through the noisy-or
+            g = s * (safe / max(1 - safe, 1e-12)) if y[i] else -s
+            gw = g[own]
+            np.add.at(grown, at, gw**2)
+            np.add.at(weights, at, RATE * gw / np.sqrt(grown[at]))
+            step = np.clip(g.sum(), -2, 2)
+            grown_bias += step**2
+            bias += RATE * step / np.sqrt(grown_bias)
+        # soft threshold: only words that keep being needed keep a weight
+        weights = np.sign(weights) * np.maximum(np.abs(weights) - SHRINK, 0)
     return pickle.dumps({"weights": weights.astype(np.float32), "bias": bias})
 
 
