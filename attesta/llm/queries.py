@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, sentencepiece_codec, token_files, topk, toxicity
+from . import langid, quality, sentencepiece_codec, token_files, topk, toxicity
 from .common import crc32_mod, documents
 
 QUERIES = {}
@@ -61,3 +61,10 @@ ranked AS (
     FROM scores)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 """
+
+
+@_query
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    found = langid.identify(docs, langid.train(langid.learnable(docs)))
+    return found.select("doc_id", (crc32_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
