@@ -43,12 +43,13 @@ def shared_dir(spark: SparkSession) -> str:
 def stage(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts the lineage and survives lost executors.
 
-    Shuffle files of the writing query go as soon as it has ended, since nothing reads them again.
+    The JVM is then asked to let go of the writing query's shuffle files, since nothing reads them again.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.option("compression", codec).parquet(path)
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(schema).parquet(path)
 
 
