@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, langid, quality, sentencepiece_codec, suffix_dedup, token_files, topk, toxicity
+from . import jaccard_join, langid, mixing, quality, sentencepiece_codec, suffix_dedup, token_files, topk, toxicity
 from .common import crc32_mod, documents
 
 QUERIES = {}
@@ -78,3 +78,12 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@_query
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(documents(spark, sf_dir))
+    return mixed.select("doc_id", F.col("mix_source").alias("source"), F.col("mix_lang").alias("lang"), F.col("mix_topic").alias("topic"), F.col("mix_tokens").alias("n_tokens"), F.round("weight", 9).alias("weight"), F.round("prob", 9).alias("prob"), "kept")
+
+
+ORACLES["op7_mixing"] = mixing.oracle_sql()

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import ensure_columns, input_bytes, shared_dir
 
 SHARD_BYTES = 12 << 20
-KEPT_WORDS = 400_000
+KEPT_WORDS = 1_000_000
 #: White space of Unicode, which splits a text where no token crosses: before the first of a run.
 _WS = "".join(map(chr, [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 _WORDS = re.compile(f"[{_WS}]*[^{_WS}]+|[{_WS}]+")
@@ -51,11 +51,22 @@ class CachedTokenizer:
         self.cache: dict[str, bytes] = {}
 
     def learn(self, words: list[str]) -> None:
+        """Keep words that aren't kept yet. A mark right after a letter is never in one token with it, so that the many
+        words with a mark behind are put together from the word and the mark."""
         if len(self.cache) + len(words) > KEPT_WORDS:
             for old in list(self.cache)[: max(KEPT_WORDS // 2, len(words))]:
                 del self.cache[old]
-        for w, got in zip(words, self.library.encode_batch_fast(words, add_special_tokens=False), strict=True):
-            self.cache[w] = np.array(got.ids, self.type).tobytes()
+        cache, joined, plain = self.cache, [], []
+        for w in words:
+            if w[-1] in ",." and len(w) > 1 and w[-2].isalpha():
+                joined.append(w)
+            else:
+                plain.append(w)
+        plain += {x for w in joined for x in (w[:-1], w[-1]) if x not in cache}.difference(plain)
+        for w, got in zip(plain, self.library.encode_batch_fast(plain, add_special_tokens=False), strict=True):
+            cache[w] = np.array(got.ids, self.type).tobytes()
+        for w in joined:
+            cache[w] = cache[w[:-1]] + cache[w[-1]]
 
     def encode(self, text: str) -> bytes:
         words = _WORDS.findall(text)
