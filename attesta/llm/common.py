@@ -53,6 +53,24 @@ def stage(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def bucketed(docs: DataFrame, bucket_bytes: int, chunks: int) -> DataFrame:
+    """docs (with doc_id and text) and their chunk, in a table in the shared folder that is bucketed by it.
+
+    Every later pass over a chunk's documents, also with what other tables have of the chunk, needs no shuffle of texts.
+    """
+    spark = docs.sparkSession
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), input_bytes(docs) // bucket_bytes + 1)
+    spread = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))
+    rows = docs.withColumn("chunk", F.pmod(spread, F.lit(chunks * buckets)).cast("int"))
+    name = f"attesta_{uuid.uuid4().hex}"
+    writer = rows.repartition(buckets, "chunk").write.bucketBy(buckets, "chunk").option("compression", "zstd")
+    writer.option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # its files stay, as it is external
+    spark.sparkContext._jvm.System.gc()
+    return table
+
+
 def input_bytes(df: DataFrame) -> int:
     """What the planner knows of the size of df's input files, without a job."""
     sizes = [int(str(leaf.computeStats().sizeInBytes())) for leaf in _leaves(df)]

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, langid, mixing, quality, sentencepiece_codec, suffix_dedup, token_files, topk, toxicity
+from . import jaccard_join, langid, mixing, pitman_yor, quality, sentencepiece_codec, suffix_dedup, token_files, topk, toxicity
 from .common import crc32_mod, documents
 
 QUERIES = {}
@@ -87,3 +87,8 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op7_mixing"] = mixing.oracle_sql()
+
+
+@_query
+def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.score_documents(documents(spark, sf_dir))

@@ -25,7 +25,6 @@ rows that share a doc_id take nothing from each other; an empty table gives an e
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat, gram_hash, input_bytes, mix, shared_dir, stage, word_hash
+from .common import bucketed, flat, gram_hash, input_bytes, mix, stage, word_hash
 
 #: Bytes of a repeated string, and of the k-grams that are anchors.
 LENGTH = 50
@@ -353,22 +352,6 @@ def _mark(texts: bool, schema: pa.Schema):
     return run
 
 
-def _bucketed(docs: DataFrame) -> DataFrame:
-    """docs with their chunk, in a table in the shared folder that is bucketed by it."""
-    spark = docs.sparkSession
-    conf = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    buckets = max(conf, input_bytes(docs) // TABLE_BUCKET + 1)
-    spread = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))
-    rows = docs.withColumn("chunk", F.pmod(spread, F.lit(CHUNKS * buckets)).cast("int"))
-    name = f"attesta_{uuid.uuid4().hex}"
-    writer = rows.repartition(buckets, "chunk").write.bucketBy(buckets, "chunk").option("compression", "zstd")
-    writer.option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
-    table = spark.table(name)
-    spark.sql(f"DROP TABLE {name}")  # its files stay, as it is external
-    spark.sparkContext._jvm.System.gc()
-    return table
-
-
 def remove_repeats(docs: DataFrame, texts: bool = False) -> DataFrame:
     """docs' columns but text, with n_bytes, n_removed, n_spans and kept_sha256; with texts, also text: what is left.
 
@@ -376,7 +359,7 @@ def remove_repeats(docs: DataFrame, texts: bool = False) -> DataFrame:
     digest, which is of the remaining bytes).
     """
     own = [c for c in docs.columns if c not in ("chunk", "n_bytes", "n_removed", "n_spans", "kept_sha256")]
-    table = _bucketed(docs.select(*own).withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")}))
+    table = bucketed(docs.select(*own).withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")}), TABLE_BUCKET, CHUNKS)
     spark = docs.sparkSession
     groups = min(max(4 * int(spark.conf.get("spark.sql.shuffle.partitions", "200")), input_bytes(table) // GROUP + 1), 1 << 15)
     digests = table.filter("doc_id is not null and text is not null").select("chunk", "doc_id", F.sha2("text", 256).alias("digest"))
