@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import edge_queries
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("user_id").count()
+    """Evidence from the order tables, folded into rated edges, the 50 strongest of them."""
+    from ..functions.rating import edge_rank, eff_mu_display
+    from ..operators import edges, fold
+    from . import world
+
+    rated = edges.ranked(fold.fold(world.evidence(spark, sf_dir)), world.law(spark))
+    rows = edges.top_relations(rated, 50)
+    return edge_queries._hex(rows.select("subject_id", "relation", "object_id", eff_mu_display().alias("eff_mu"), edge_rank().alias("edge_rank"), "witness_count"))
