@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ensure_columns, input_bytes, shared_dir
+from .common import ensure_columns, input_bytes, shared_dir, sized
 
 SHARD_BYTES = 12 << 20
 KEPT_WORDS = 1_000_000
@@ -125,8 +125,8 @@ def frames(content: bytes) -> Iterator[tuple[int, int, int | None, memoryview]]:
 
 def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int) -> None:
     """Write the shards under path."""
-    rows = ensure_columns(docs, doc_id="long", text="string").withColumn("h", F.xxhash64("text"))
-    shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), input_bytes(docs) // SHARD_BYTES + 1)
+    rows = sized(ensure_columns(docs, doc_id="long", text="string")).withColumn("h", F.xxhash64("text"))
+    shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), input_bytes(rows) // SHARD_BYTES + 1)
     ordered = rows.repartitionByRange(shards, "doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
