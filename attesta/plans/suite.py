@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import edge_queries, graph_queries, sequence_queries
+from . import census_queries, edge_queries, graph_queries, sequence_queries
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "edge_queries", "flagship", "graph_queries", "sequence_queries"]
+__all__ = ["ORACLES", "QUERIES", "census_queries", "edge_queries", "flagship", "graph_queries", "sequence_queries"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
