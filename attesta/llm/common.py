@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -40,13 +42,30 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-def stage(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+_SCRATCH: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are staged inside are deleted at the end, but for those staged with keep: an operator's result."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        for path in _SCRATCH.pop():
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def stage(df: DataFrame, name: str, codec: str = "zstd", keep: bool = False) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts the lineage and survives lost executors.
 
     The JVM is then asked to let go of the writing query's shuffle files, since nothing reads them again.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _SCRATCH and not keep:
+        _SCRATCH[-1].append(path)
     schema = df.schema
     df.write.option("compression", codec).parquet(path)
     spark.sparkContext._jvm.System.gc()
@@ -58,13 +77,16 @@ def bucketed(docs: DataFrame, bucket_bytes: int, chunks: int) -> DataFrame:
 
     Every later pass over a chunk's documents, also with what other tables have of the chunk, needs no shuffle of texts.
     """
-    spark = docs.sparkSession
+    spark, docs = docs.sparkSession, sized(docs)
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), input_bytes(docs) // bucket_bytes + 1)
     spread = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))
     rows = docs.withColumn("chunk", F.pmod(spread, F.lit(chunks * buckets)).cast("int"))
     name = f"attesta_{uuid.uuid4().hex}"
     writer = rows.repartition(buckets, "chunk").write.bucketBy(buckets, "chunk").option("compression", "zstd")
-    writer.option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    path = f"{shared_dir(spark)}/{name}"
+    if _SCRATCH:
+        _SCRATCH[-1].append(path)
+    writer.option("path", path).saveAsTable(name)
     table = spark.table(name)
     spark.sql(f"DROP TABLE {name}")  # its files stay, as it is external
     spark.sparkContext._jvm.System.gc()
@@ -72,9 +94,17 @@ def bucketed(docs: DataFrame, bucket_bytes: int, chunks: int) -> DataFrame:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """What the planner knows of the size of df's input files, without a job."""
-    sizes = [int(str(leaf.computeStats().sizeInBytes())) for leaf in _leaves(df)]
-    return max(1, min(sum(sizes), 1 << 62))
+    """What the planner knows of the size of df's input, without a job; see sized()."""
+    return max(1, sum(_leaf_bytes(df)))
+
+
+def sized(df: DataFrame) -> DataFrame:
+    """df if the planner knows its input's size, else df written to the shared folder, which makes the size known."""
+    return df if max(_leaf_bytes(df), default=0) < 1 << 62 else stage(df, "sized")
+
+
+def _leaf_bytes(df: DataFrame) -> list[int]:
+    return [int(str(leaf.computeStats().sizeInBytes())) for leaf in _leaves(df)]
 
 
 def _leaves(df: DataFrame) -> list:
@@ -83,9 +113,12 @@ def _leaves(df: DataFrame) -> list:
 
 
 def parts(df: DataFrame, target: int) -> int:
-    """Groups to deal the rows out to: of about target input bytes, and a few for each shuffle partition at least."""
+    """Groups to deal packets out to: of about target input bytes, and one for each shuffle partition at least.
+
+    Each chunk sends each group one packet, so more groups than tasks would only make packets smaller.
+    """
     conf = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(4 * conf, input_bytes(df) // target + 1)
+    return min(max(conf, input_bytes(df) // target + 1), 1 << 16)
 
 
 def crc32_mod(col: str, n: int):
