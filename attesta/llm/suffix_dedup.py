@@ -33,16 +33,18 @@ import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
-from .common import bucketed, flat, gram_hash, input_bytes, mix, stage, word_hash
+from .common import bucketed, flat, gram_hash, mix, parts, scratch, stage, word_hash
 
 #: Bytes of a repeated string, and of the k-grams that are anchors.
 LENGTH = 50
 K = 32
 _SPAN = LENGTH - K + 1
 #: Bytes of input for each bucket of the table, with CHUNKS chunks; and for each group of anchors and bucket of suffixes.
-TABLE_BUCKET = 6 << 20
-CHUNKS = 3
+TABLE_BUCKET = 4 << 20
+CHUNKS = 2
 GROUP = 3 << 20
 #: Anchors that a chunk gives to the sample for splitters.
 SAMPLE = 32
@@ -356,34 +358,32 @@ def remove_repeats(docs: DataFrame, texts: bool = False) -> DataFrame:
     """docs' columns but text, with n_bytes, n_removed, n_spans and kept_sha256; with texts, also text: what is left.
 
     The text that is left is UTF-8 again: what remains of a character that was cut is dropped from it (not from the
-    digest, which is of the remaining bytes).
+    digest, which is of the remaining bytes). The result is a written table; what was written on the way is deleted.
     """
-    own = [c for c in docs.columns if c not in ("chunk", "n_bytes", "n_removed", "n_spans", "kept_sha256")]
-    table = bucketed(docs.select(*own).withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")}), TABLE_BUCKET, CHUNKS)
-    spark = docs.sparkSession
-    groups = min(max(4 * int(spark.conf.get("spark.sql.shuffle.partitions", "200")), input_bytes(table) // GROUP + 1), 1 << 15)
-    digests = table.filter("doc_id is not null and text is not null").select("chunk", "doc_id", F.sha2("text", 256).alias("digest"))
-    firsts = digests.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first <> last")
-    # a plain table, so that the join with a text of very many copies can be split
-    copies = digests.join(stage(firsts.select("digest", "first"), "suffix-firsts"), "digest").filter("doc_id > first")
-    empty = F.lit(None).cast("binary")
-    notes = stage(copies.select("chunk", F.lit(_COPY).alias("kind"), F.lit(0).alias("grp"), empty.alias("a"), empty.alias("b"), empty.alias("c"), F.col("doc_id").alias("value")), "suffix-notes")
-
-    def meet(f, columns: DataFrame, kind: str) -> DataFrame:
-        return columns.groupBy("chunk").cogroup(notes.groupBy("chunk")).applyInArrow(f, kind)
-
-    slim = table.select("chunk", "doc_id", "text")
-    anchors = meet(_send_anchors(groups), slim, _NOTE).groupBy("grp").applyInArrow(_several, _NOTE)
-    anchors = stage(anchors, "suffix-anchors")
-    cuts = [k / groups for k in range(1, groups)]
-    splitters = anchors.filter(F.col("kind") == _SAMPLE).agg(F.percentile_approx("value", cuts, 100_000).alias("q")).collect()[0].q or []
-    notes = notes.union(anchors.filter(F.col("kind") == _ANCHOR))
-    repeats = meet(_send_suffixes(splitters), slim, _NOTE).groupBy("grp").applyInArrow(_sort, _NOTE)
-    notes = notes.union(stage(repeats, "suffix-repeats"))
-    kinds = {f.name: f.dataType.simpleString() for f in table.schema}
-    result = {c: kinds[c] for c in own if c != "text"} | {"n_bytes": "bigint", "n_removed": "bigint", "n_spans": "bigint", "kept_sha256": "string"} | ({"text": "string"} if texts else {})
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-
-    ddl = ", ".join(f"`{c}` {k}" for c, k in result.items())
-    return meet(_mark(texts, to_arrow_schema(_parse_datatype_string(ddl))), table, ddl)
+    with scratch(docs.sparkSession):
+        own = [c for c in docs.columns if c not in ("chunk", "n_bytes", "n_removed", "n_spans", "kept_sha256")]
+        table = bucketed(docs.select(*own).withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")}), TABLE_BUCKET, CHUNKS)
+        spark = docs.sparkSession
+        groups = parts(table, GROUP)
+        digests = table.filter("doc_id is not null and text is not null").select("chunk", "doc_id", F.sha2("text", 256).alias("digest"))
+        firsts = digests.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first <> last")
+        # a plain table, so that the join with a text of very many copies can be split
+        copies = digests.join(stage(firsts.select("digest", "first"), "suffix-firsts"), "digest").filter("doc_id > first")
+        empty = F.lit(None).cast("binary")
+        notes = stage(copies.select("chunk", F.lit(_COPY).alias("kind"), F.lit(0).alias("grp"), empty.alias("a"), empty.alias("b"), empty.alias("c"), F.col("doc_id").alias("value")), "suffix-notes")
+
+        def meet(f, columns: DataFrame, kind: str) -> DataFrame:
+            return columns.groupBy("chunk").cogroup(notes.groupBy("chunk")).applyInArrow(f, kind)
+
+        slim = table.select("chunk", "doc_id", "text")
+        anchors = meet(_send_anchors(groups), slim, _NOTE).groupBy("grp").applyInArrow(_several, _NOTE)
+        anchors = stage(anchors, "suffix-anchors")
+        cuts = [k / groups for k in range(1, groups)]
+        splitters = anchors.filter(F.col("kind") == _SAMPLE).agg(F.percentile_approx("value", cuts, 100_000).alias("q")).collect()[0].q or []
+        notes = notes.union(anchors.filter(F.col("kind") == _ANCHOR))
+        repeats = meet(_send_suffixes(splitters), slim, _NOTE).groupBy("grp").applyInArrow(_sort, _NOTE)
+        notes = notes.union(stage(repeats, "suffix-repeats"))
+        kinds = {f.name: f.dataType.simpleString() for f in table.schema}
+        result = {c: kinds[c] for c in own if c != "text"} | {"n_bytes": "bigint", "n_removed": "bigint", "n_spans": "bigint", "kept_sha256": "string"} | ({"text": "string"} if texts else {})
+        ddl = ", ".join(f"`{c}` {k}" for c, k in result.items())
+        return stage(meet(_mark(texts, to_arrow_schema(_parse_datatype_string(ddl))), table, ddl), "suffix-left", keep=True)
