@@ -6,12 +6,12 @@
 2. A class keeps its shared n-grams, rarest first. It goes on only if they are enough to reach the threshold; what it has
    in its prefix beyond the n-grams of its own is what it is joined on (prefix and length filter). Equal sets of
    different chunks become one class here.
-3. Classes that share a prefix n-gram are candidates if their lengths allow it and if, after their last shared prefix
+3. Classes that share a rare prefix n-gram are candidates if their lengths allow it and if, after their last shared prefix
    n-gram, enough n-grams are left on both sides (positional filter). A pair is verified once, after a comparison of both
    sets' counts by parts of the hash range (suffix filter).
-4. Not all pairs of a large group of near copies are made: each class first meets one centre of its prefix n-grams, then
-   another one, and pairs are only made between classes that aren't connected yet. Those are all made, so that no
-   component stays apart which a link would join.
+4. A prefix n-gram of many classes (FREQUENT) would make a row of each pair of a large group of near copies. What such
+   n-grams hold together is a family: its classes meet in blocks, where pairs are counted by matrix products and only the
+   edges that connect them go out. A pair of one family isn't a candidate anywhere else.
 
 Defined results: a text without words or a null one has an empty set, and is linked with nothing; with fewer than n words
 the whole sequence is the one n-gram; equal sets are linked; rows without doc_id count as members but never name a
@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, ensure_columns, flat, is_scan, mix, parts, pieces, stage, word_hash, words
+from .common import LOWER, ensure_columns, flat, is_scan, mix, parts, pieces, scratch, stage, word_hash, words
 from .components import components
 
 #: Bytes of text in a chunk; a longer text is a chunk of its own.
@@ -40,9 +40,12 @@ GROUP = 3 << 20
 #: Links need 100 * intersection >= THRESHOLD * union.
 THRESHOLD = 75
 N = 5
-#: Classes that meet one centre in one task.
-STAR = 256
+#: Prefix n-grams of more classes hold families together, whose pairs are never made into rows.
+FREQUENT = 24
+#: Classes of a family's block at least; large families have blocks of up to 16 times as many.
+BLOCK = 256
 _PARTS = 16
+_COLUMNS = 1 << 14
 
 
 def sets(data: np.ndarray, starts: np.ndarray, n: int = N) -> list[np.ndarray]:
@@ -241,58 +244,89 @@ def _verify(threshold: int):
 
 
 def _links(pairs: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
-    """Of pairs (a, b), where many a may have one b, those that link."""
-    pairs = stage(pairs, "jaccard-pairs")
-    star = stage(_star_sizes(pairs), "jaccard-stars")
-    return _links_of(pairs, star, classes, threshold)
-
-
-def _star_sizes(pairs: DataFrame) -> DataFrame:
-    return pairs.groupBy("b").agg(F.ceil(F.count("*") / F.lit(STAR)).cast("int").alias("cells"))
-
-
-def _links_of(pairs: DataFrame, star: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
-    cells = star.withColumn("cell", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
-    right = cells.join(classes.select(F.col("v").alias("b"), F.col("n").alias("nb"), F.col("shared").alias("y")), "b")
-    left = pairs.join(star, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("cells")).cast("int").alias("cell"))
-    left = left.join(classes.select(F.col("v").alias("a"), F.col("n").alias("na"), F.col("shared").alias("x")), "a")
-    both = left.join(right.drop("cells"), ["b", "cell"]).select("a", "b", "na", "nb", "x", "y")
-    return both.mapInArrow(_verify(threshold), "a long, b long")
+    """Of pairs (a, b) those that link."""
+    left = pairs.join(classes.select(F.col("v").alias("a"), F.col("n").alias("na"), F.col("shared").alias("x")), "a")
+    both = left.join(classes.select(F.col("v").alias("b"), F.col("n").alias("nb"), F.col("shared").alias("y")), "b")
+    return both.select("a", "b", "na", "nb", "x", "y").mapInArrow(_verify(threshold), "a long, b long")
 
 
 def _meet(rows: DataFrame, threshold: int) -> DataFrame:
     """rows: one for each shared prefix n-gram of a pair (a, b, na, nb, at_a, at_b), to pairs that may still link."""
     need = F.ceil(F.lit(threshold) * (F.col("na") + F.col("nb")) / F.lit(100 + threshold))
-    once = rows.filter((100 * F.col("nb") >= threshold * F.col("na")) & (100 * F.col("na") >= threshold * F.col("nb")))
-    pair = once.groupBy("a", "b").agg(F.count("*").alias("k"), F.max("at_a").alias("at_a"), F.max("at_b").alias("at_b"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    return pair.filter(F.col("k") + F.least(F.col("na") - F.col("at_a") - 1, F.col("nb") - F.col("at_b") - 1) >= need)
+    pair = rows.groupBy("a", "b").agg(F.count("*").alias("k"), F.max("at_a").alias("at_a"), F.max("at_b").alias("at_b"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    return pair.filter(F.col("k") + F.least(F.col("na") - F.col("at_a") - 1, F.col("nb") - F.col("at_b") - 1) >= need).select("a", "b")
 
 
-def _stars(post: DataFrame, threshold: int) -> DataFrame:
-    """For each class one pair (a, b): with the centre of most of its prefix n-grams that it may link with."""
-    centre = post.groupBy("gram").agg(F.min(F.struct("n", "v", "at")).alias("c"), F.count("*").alias("m")).filter("m > 1")
-    centre = stage(centre.select("gram", "c"), "jaccard-centres")  # a plain table, so that a hot n-gram's join can be split
-    rows = post.join(centre, "gram").filter("v <> c.v").select(F.col("v").alias("a"), F.col("c.v").alias("b"), F.col("n").alias("na"), F.col("c.n").alias("nb"), F.col("at").alias("at_a"), F.col("c.at").alias("at_b"))
-    return _meet(rows, threshold).groupBy("a").agg(F.max_by("b", F.struct("k", "b")).alias("b"))
+def _cell(threshold: int):
+    """The classes of two blocks of a family: which are connected by links between them, as edges to one of them."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
+    def run(table: pa.Table) -> pa.Table:
+        lo, hi = table["lo"][0].as_py(), table["hi"][0].as_py()
+        table = table.sort_by("v")
+        block, v, n = (table[c].to_numpy() for c in ("block", "v", "n"))
+        keys = [np.frombuffer(x.as_buffer(), np.uint64) for chunk in table["shared"].chunks for x in chunk]
+        first, second = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
+        both = np.zeros((len(first), len(second)), np.float32)
+        own = np.repeat(np.arange(len(v)), [len(k) for k in keys])
+        # each n-gram found twice is a column; columns are taken some at a time, so long texts need no more memory
+        distinct, column, many = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
+        kept = many[column] > 1
+        own, column = own[kept], (np.cumsum(many > 1) - 1)[column[kept]]
+        order = np.argsort(column, kind="stable")
+        own, column = own[order], column[order]
+        place_a, place_b = np.full(len(v), -1), np.full(len(v), -1)
+        place_a[first], place_b[second] = np.arange(len(first)), np.arange(len(second))
+        for start in range(0, int((many > 1).sum()), _COLUMNS):
+            part = slice(*np.searchsorted(column, [start, start + _COLUMNS]))
+            x, y = np.zeros((len(first), _COLUMNS), np.float32), np.zeros((len(second), _COLUMNS), np.float32)
+            for matrix, place in ((x, place_a), (y, place_b)):
+                row = place[own[part]]
+                ok = row >= 0
+                matrix[row[ok], column[part][ok] - start] = 1
+            both += x @ y.T
+        linked = np.zeros((len(v), len(v)), bool)
+        linked[np.ix_(first, second)] = 100 * both >= threshold * (n[first][:, None] + n[second][None] - both)
+        linked |= linked.T
+        # each class takes the smallest number that it reaches
+        label = np.arange(len(v))
+        while True:
+            new = np.minimum(label, np.where(linked, label[None], len(v)).min(1))
+            new = np.minimum(new, new[new])
+            if (new == label).all():
+                break
+            label = new
+        at = np.flatnonzero(label != np.arange(len(v)))
+        return pa.table([pa.array(v[label[at]]), pa.array(v[at])], schema=schema)
+
+    return run
 
-def _apart(post: DataFrame) -> DataFrame:
-    """The postings of n-grams that classes of several components have; big: the component with most of them."""
-    each = post.groupBy("gram", "comp").agg(F.count("*").alias("m"))
-    mixed = each.groupBy("gram").agg(F.max_by("comp", F.struct("m", "comp")).alias("big"), F.count("*").alias("comps")).filter("comps > 1")
-    return post.join(stage(mixed.select("gram", "big"), "jaccard-mixed"), "gram")
 
+def _family_links(post: DataFrame, classes: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
+    """(v, family) of classes with a frequent prefix n-gram, and edges that connect what links within families.
 
-def _with_components(post: DataFrame, links: DataFrame) -> DataFrame:
-    return post.drop("comp").join(components(links), "v", "left").withColumn("comp", F.coalesce("comp", "v"))
+    A family is what frequent n-grams hold together. Its classes are cut into blocks by a hash, and every two blocks meet
+    in a task of their own, where all pairs are counted by matrix products; what goes out is one edge a class at most.
+    """
+    centre = post.groupBy("gram").agg(F.min("v").alias("c"))
+    hubs = post.join(stage(centre, "jaccard-centres"), "gram").filter("v <> c").select(F.col("c").alias("a"), F.col("v").alias("b")).distinct()
+    family = stage(components(hubs).withColumnRenamed("comp", "family"), "jaccard-families")
+    size = family.groupBy("family").agg(F.count("*").alias("m"))
+    block = F.greatest(F.lit(BLOCK), F.least(F.lit(16 * BLOCK), F.ceil(F.col("m") / 32)))
+    blocks = stage(size.select("family", F.ceil(F.col("m") / block).cast("int").alias("blocks")), "jaccard-blocks")
+    own = family.join(blocks, "family").withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
+    sets = own.join(classes.select("v", "n", "shared"), "v")
+    spread = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = spread.select("family", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "v", "n", "shared")
+    return family, cells.groupBy("family", "lo", "hi").applyInArrow(_cell(threshold), "a long, b long")
 
 
-def similar_classes(docs: DataFrame, n: int = N, threshold: int = THRESHOLD, stars: int = 2) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(documents: doc_id, n, sign), (classes: v, n, sign, shared), (links: a, b between classes that span all components)."""
+def similar_classes(docs: DataFrame, n: int = N, threshold: int = THRESHOLD) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents: doc_id, n, sign), (classes: v, n, sign, shared), (links: a, b that connect each component's classes)."""
     rows = ensure_columns(docs, doc_id="long", text="string")
     if not is_scan(rows):
         rows = stage(rows, "jaccard-documents")
-    groups = min(parts(rows, GROUP), 1 << 16)
+    groups = parts(rows, GROUP)
     packets = rows.mapInArrow(_chunks(groups, n), _CHUNK_ROWS)
     answers = packets.groupBy("grp").applyInArrow(_count, _CHUNK_ROWS)
     gathered = answers.groupBy("chunk").applyInArrow(_gather(threshold), "doc_id long, n long, sign binary, shared binary")
@@ -300,35 +334,32 @@ def similar_classes(docs: DataFrame, n: int = N, threshold: int = THRESHOLD, sta
     one = gathered.filter("shared is not null").groupBy("sign").agg(F.first("n").alias("n"), F.first("shared").alias("shared"))
     classes = stage(one.select(F.monotonically_increasing_id().alias("v"), "n", "sign", "shared"), "jaccard-classes")
     post = stage(classes.select("v", "n", "shared").mapInArrow(_postings(threshold), "gram long, v long, n long, at long"), "jaccard-postings")
-    links = stage(_links(_stars(post, threshold), classes, threshold), "jaccard-links")
-    post = stage(_with_components(post, links), "jaccard-postings")
-    for _ in range(stars - 1):
-        apart = _apart(post)
-        more = stage(_links(_stars(apart.filter("comp <> big").drop("big", "comp").union(_one_of_big(apart)), threshold), classes, threshold), "jaccard-links")
-        links = links.union(more)
-        post = stage(_with_components(post, links), "jaccard-postings")
-    apart = stage(_apart(post), "jaccard-apart")
-    small = apart.filter("comp <> big").select("gram", F.col("v").alias("a"), F.col("n").alias("na"), F.col("at").alias("at_a"), F.col("comp").alias("comp_a"))
-    every = apart.select("gram", F.col("v").alias("b"), F.col("n").alias("nb"), F.col("at").alias("at_b"), F.col("comp").alias("comp_b"), "big")
-    rows = small.join(every, "gram").filter("comp_a <> comp_b and (comp_b = big or a < b)")
-    pairs = _meet(rows, threshold).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    rest = stage(_links(pairs, classes, threshold), "jaccard-links")
-    return gathered.drop("shared"), classes, links.union(rest)
-
-
-def _one_of_big(apart: DataFrame) -> DataFrame:
-    """The postings of one class of each n-gram's largest component."""
-    return apart.filter("comp = big").groupBy("gram").agg(F.max_by(F.struct("v", "n", "at"), F.struct("n", "v")).alias("x")).select("gram", "x.v", "x.n", "x.at")
+    many = stage(post.groupBy("gram").agg(F.count("*").alias("m")).filter("m > 1"), "jaccard-counts")
+    family, inside = _family_links(post.join(many.filter(F.col("m") > FREQUENT), "gram", "left_semi"), classes, threshold)
+    inside = stage(inside, "jaccard-links")
+    rare = post.join(many.filter(F.col("m") <= FREQUENT), "gram", "left_semi").join(family, "v", "left")
+    side = lambda x: rare.select("gram", F.col("v").alias(x), F.col("n").alias(f"n{x}"), F.col("at").alias(f"at_{x}"), F.col("family").alias(f"f{x}"))
+    fits = (F.col("a") < F.col("b")) & (100 * F.col("nb") >= threshold * F.col("na")) & (100 * F.col("na") >= threshold * F.col("nb"))
+    met = side("a").join(side("b"), "gram").filter(fits & ~F.coalesce(F.col("fa") == F.col("fb"), F.lit(False)))
+    links = stage(_links(_meet(met, threshold), classes, threshold), "jaccard-links")
+    return gathered.drop("shared"), classes, links.unionByName(inside)
 
 
 def join_documents(docs: DataFrame, n: int = N, threshold: int = THRESHOLD) -> DataFrame:
-    """doc_id, n_shingles, class_id (smallest doc_id of an equal set), component_id (smallest one reachable by links)."""
-    rows, classes, links = similar_classes(docs, n, threshold)
-    comps = components(links)
-    named = rows.filter("sign is not null").groupBy("sign").agg(F.min("doc_id").alias("class_id"))
-    linked = named.join(classes.select("sign", "v"), "sign").join(comps, "v")
-    smallest = linked.groupBy("comp").agg(F.min("class_id").alias("component_id"))
-    of = linked.join(smallest, "comp").select("sign", "component_id")
-    # a plain table, so that the join with a hot set's many documents can be split
-    out = rows.join(stage(named.join(of, "sign", "left"), "jaccard-names"), "sign", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("sign").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(F.col("sign").isNull(), F.col("doc_id")).otherwise(F.coalesce("component_id", "class_id")).alias("component_id"))
+    """doc_id, n_shingles, class_id (smallest doc_id of an equal set), component_id (smallest one reachable by links).
+
+    The result is a written table; what was written on the way is deleted.
+    """
+    with scratch(docs.sparkSession):
+        rows, classes, links = similar_classes(docs, n, threshold)
+        comps = components(links)
+        named = rows.filter("sign is not null").groupBy("sign").agg(F.min("doc_id").alias("class_id"))
+        linked = named.join(classes.select("sign", "v"), "sign").join(comps, "v")
+        smallest = linked.groupBy("comp").agg(F.min("class_id").alias("component_id"))
+        of = linked.join(smallest, "comp").select("sign", "component_id")
+        # a plain table, so that the join with a hot set's many documents can be split
+        out = rows.join(stage(named.join(of, "sign", "left"), "jaccard-names"), "sign", "left")
+        alone = F.col("sign").isNull()
+        class_id, component_id = F.col("class_id"), F.coalesce("component_id", "class_id")
+        out = out.select("doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(class_id).alias("class_id"), F.when(alone, F.col("doc_id")).otherwise(component_id).alias("component_id"))
+        return stage(out, "jaccard-joined", keep=True)
