@@ -26,9 +26,9 @@ from .common import ensure_columns
 
 SPACE_MARK = "▁"
 #: Words that a worker keeps; the older half goes when the table is full.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 150_000
 #: Decided pairs that a worker keeps.
-KEPT_PAIRS = 1_000_000
+KEPT_PAIRS = 300_000
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, object]]:
