@@ -10,8 +10,8 @@
    n-gram, enough n-grams are left on both sides (positional filter). A pair is verified once, after a comparison of both
    sets' counts by parts of the hash range (suffix filter).
 4. A prefix n-gram of many classes (FREQUENT) would make a row of each pair of a large group of near copies. What such
-   n-grams hold together is a family: its classes meet in blocks, where pairs are counted by matrix products and only the
-   edges that connect them go out. A pair of one family isn't a candidate anywhere else.
+   n-grams hold together is a family: its classes meet in blocks, where pairs are counted by matrix products; each class's
+   number of links goes out, and edges that connect what links. A pair of one family isn't a candidate anywhere else.
 
 Defined results: a text without words or a null one has an empty set, and is linked with nothing; with fewer than n words
 the whole sequence is the one n-gram; equal sets are linked; rows without doc_id count as members but never name a
@@ -258,8 +258,11 @@ def _meet(rows: DataFrame, threshold: int) -> DataFrame:
 
 
 def _cell(threshold: int):
-    """The classes of two blocks of a family: which are connected by links between them, as edges to one of them."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    """The classes of two blocks of a family that link between them: b, its links n here, and a, the smallest it reaches.
+
+    a is b itself for the smallest; (a, b) only connects and need not link. Every pair is in one cell, so n adds up.
+    """
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
 
     def run(table: pa.Table) -> pa.Table:
         lo, hi = table["lo"][0].as_py(), table["hi"][0].as_py()
@@ -288,6 +291,8 @@ def _cell(threshold: int):
         linked = np.zeros((len(v), len(v)), bool)
         linked[np.ix_(first, second)] = 100 * both >= threshold * (n[first][:, None] + n[second][None] - both)
         linked |= linked.T
+        np.fill_diagonal(linked, False)
+        links = linked.sum(1)
         # each class takes the smallest number that it reaches
         label = np.arange(len(v))
         while True:
@@ -296,17 +301,17 @@ def _cell(threshold: int):
             if (new == label).all():
                 break
             label = new
-        at = np.flatnonzero(label != np.arange(len(v)))
-        return pa.table([pa.array(v[label[at]]), pa.array(v[at])], schema=schema)
+        at = np.flatnonzero(links)
+        return pa.table([pa.array(v[label[at]]), pa.array(v[at]), pa.array(links[at])], schema=schema)
 
     return run
 
 
 def _family_links(post: DataFrame, classes: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
-    """(v, family) of classes with a frequent prefix n-gram, and edges that connect what links within families.
+    """(v, family) of classes with a frequent prefix n-gram, and what links within families as rows of _cell.
 
     A family is what frequent n-grams hold together. Its classes are cut into blocks by a hash, and every two blocks meet
-    in a task of their own, where all pairs are counted by matrix products; what goes out is one edge a class at most.
+    in a task of their own, where all pairs are counted by matrix products; what goes out of a task is one row a class at most.
     """
     centre = post.groupBy("gram").agg(F.min("v").alias("c"))
     hubs = post.join(stage(centre, "jaccard-centres"), "gram").filter("v <> c").select(F.col("c").alias("a"), F.col("v").alias("b")).distinct()
@@ -318,11 +323,14 @@ def _family_links(post: DataFrame, classes: DataFrame, threshold: int) -> tuple[
     sets = own.join(classes.select("v", "n", "shared"), "v")
     spread = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = spread.select("family", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "v", "n", "shared")
-    return family, cells.groupBy("family", "lo", "hi").applyInArrow(_cell(threshold), "a long, b long")
+    return family, cells.groupBy("family", "lo", "hi").applyInArrow(_cell(threshold), "a long, b long, n long")
 
 
-def similar_classes(docs: DataFrame, n: int = N, threshold: int = THRESHOLD) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(documents: doc_id, n, sign), (classes: v, n, sign, shared), (links: a, b that connect each component's classes)."""
+def similar_classes(docs: DataFrame, n: int = N, threshold: int = THRESHOLD) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(documents: doc_id, n, sign), (classes: v, n, sign, shared), (edges: a, b), (counts: v, n_links).
+
+    Edges connect each component's classes, for components() only; counts have each class's number of verified links.
+    """
     rows = ensure_columns(docs, doc_id="long", text="string")
     if not is_scan(rows):
         rows = stage(rows, "jaccard-documents")
@@ -342,24 +350,29 @@ def similar_classes(docs: DataFrame, n: int = N, threshold: int = THRESHOLD) ->
     fits = (F.col("a") < F.col("b")) & (100 * F.col("nb") >= threshold * F.col("na")) & (100 * F.col("na") >= threshold * F.col("nb"))
     met = side("a").join(side("b"), "gram").filter(fits & ~F.coalesce(F.col("fa") == F.col("fb"), F.lit(False)))
     links = stage(_links(_meet(met, threshold), classes, threshold), "jaccard-links")
-    return gathered.drop("shared"), classes, links.unionByName(inside)
+    edges = links.unionByName(inside.filter("a <> b").select("a", "b"))
+    ends = inside.select(F.col("b").alias("v"), "n")
+    for end in ("a", "b"):
+        ends = ends.unionByName(links.select(F.col(end).alias("v"), F.lit(1).cast("long").alias("n")))
+    return gathered.drop("shared"), classes, edges, ends.groupBy("v").agg(F.sum("n").alias("n_links"))
 
 
 def join_documents(docs: DataFrame, n: int = N, threshold: int = THRESHOLD) -> DataFrame:
-    """doc_id, n_shingles, class_id (smallest doc_id of an equal set), component_id (smallest one reachable by links).
+    """doc_id, n_shingles, class_id (smallest doc_id of an equal set), component_id (smallest one reachable by links), n_links.
 
-    The result is a written table; what was written on the way is deleted.
+    n_links is how many other distinct sets the document's set links with; the sum over a component's classes is twice the
+    number of its pairs. The result is a written table; what was written on the way is deleted.
     """
     with scratch(docs.sparkSession):
-        rows, classes, links = similar_classes(docs, n, threshold)
-        comps = components(links)
+        rows, classes, edges, counts = similar_classes(docs, n, threshold)
+        comps = components(edges).join(counts, "v")
         named = rows.filter("sign is not null").groupBy("sign").agg(F.min("doc_id").alias("class_id"))
         linked = named.join(classes.select("sign", "v"), "sign").join(comps, "v")
         smallest = linked.groupBy("comp").agg(F.min("class_id").alias("component_id"))
-        of = linked.join(smallest, "comp").select("sign", "component_id")
+        of = linked.join(smallest, "comp").select("sign", "component_id", "n_links")
         # a plain table, so that the join with a hot set's many documents can be split
         out = rows.join(stage(named.join(of, "sign", "left"), "jaccard-names"), "sign", "left")
         alone = F.col("sign").isNull()
         class_id, component_id = F.col("class_id"), F.coalesce("component_id", "class_id")
-        out = out.select("doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(class_id).alias("class_id"), F.when(alone, F.col("doc_id")).otherwise(component_id).alias("component_id"))
+        out = out.select("doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(class_id).alias("class_id"), F.when(alone, F.col("doc_id")).otherwise(component_id).alias("component_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
         return stage(out, "jaccard-joined", keep=True)

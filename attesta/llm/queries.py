@@ -72,7 +72,7 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.join_documents(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", "class_id")
+    return jaccard_join.join_documents(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", "class_id", "n_links")
 
 
 @_query

@@ -274,6 +274,28 @@ def test_jaccard_join(nasty, odd, empty):
     assert jaccard_join.join_documents(empty).count() == 0
 
 
+def test_jaccard_join_counts_every_link(spark, nasty, monkeypatch):
+    docs = {i: t for i, t in pairs(nasty)}
+    # near copies with a common passage: one family; small blocks make several cells
+    rng = np.random.default_rng(8)
+    base = [f"w{k}" for k in range(90)]
+    for i in range(100, 160):
+        w = list(base)
+        for k in rng.integers(0, 90, 1 + i % 3):
+            w[k] = f"own{i}"
+        docs[i] = " ".join(w)
+    docs[160] = docs[100]
+    sets = {i: brute.shingles(t) for i, t in docs.items()}
+    distinct = [s for s in set(sets.values()) if s]
+    want = {s: sum(s != o and 100 * len(s & o) >= 75 * len(s | o) for o in distinct) for s in distinct}
+    table = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    for block in (jaccard_join.BLOCK, 8):
+        monkeypatch.setattr(jaccard_join, "BLOCK", block)
+        got = {r.doc_id: r.n_links for r in jaccard_join.join_documents(table).collect()}
+        assert got == {i: want.get(s, 0) for i, s in sets.items()}
+    assert max(want.values()) > 24
+
+
 def test_chains_are_one_component(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 102)], "a long, b long")
     got = {r.v: r.comp for r in components.components(edges).collect()}
