@@ -6,9 +6,10 @@ the lowest with a uniform distribution. The n-grams of all languages stand in so
 one interpolated log-probability a language, so a text's characters are looked up once for all languages; an n-gram that
 no language has seen falls back to the weight of its context and the next lower order.
 
-The language of the lowest cross-entropy for each character is predicted. Rejection is calibrated on sampled documents
-that the counts leave out: a document is rejected if its cross-entropy is over REJECT_Z deviations above what its
-language's documents of that length have.
+The language of the lowest cross-entropy for each character is predicted. Rejection is calibrated on documents that the
+counts leave out (a fifth of the sample and about CALIBRATION_ROWS further ones a language): a document's z is its
+cross-entropy above what its language's documents of that length have, in deviations, and it is rejected if its z is over
+the one that a share of REJECT_RATE of its language's left-out documents exceeds.
 
 Training sees at most TRAIN_ROWS documents a language, those whose ids have the smallest hashes, as whole texts.
 
@@ -24,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import crc32_mod, ensure_columns
@@ -32,7 +33,14 @@ from .common import crc32_mod, ensure_columns
 ORDER = 4
 #: Sampled documents a language at most.
 TRAIN_ROWS = 400
-REJECT_Z = 20.0
+#: Further documents a language, about, whose z is measured.
+CALIBRATION_ROWS = 1000
+#: Share of a language's own documents that may be rejected.
+REJECT_RATE = 0.005
+#: The least limit of z: what a normal distribution exceeds at REJECT_RATE.
+LEAST_Z = 2.576
+#: The limit of a language with too few documents to leave any out.
+UNKNOWN_Z = 20.0
 #: Characters that count at most towards the score's certainty, as neighbouring ones depend on each other.
 EVIDENCE = 40
 _BLANK = 32
@@ -128,6 +136,7 @@ class Model:
 
     def __init__(self, langs: list[str], models: list[KneserNey], spread: list[tuple[float, float, float]]):
         self.langs, self.spread = langs, np.array(spread)
+        self.limits = np.full(len(langs), UNKNOWN_Z)
         self.tables, self.weights = {}, {}
         for n in range(1, ORDER + 1):
             codes = np.unique(np.concatenate([m.grams[n][0] for m in models]))
@@ -173,7 +182,21 @@ def _train(texts: list[str]) -> bytes:
     return pickle.dumps((used, held))
 
 
-def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model | None:
+def limit(z: np.ndarray, rate: float = REJECT_RATE) -> float:
+    """The z that a further document exceeds with a probability of rate, by that of n documents.
+
+    It is the order statistic that a share of rate of n + 1 documents exceeds. Where n is too small for one, the largest z
+    is stretched as in a tail of 1 / z^2.
+    """
+    n = len(z)
+    if not n:
+        return UNKNOWN_Z
+    place = int(np.ceil((n + 1) * (1 - rate)))
+    found = np.sort(z)[place - 1] if place <= n else max(z.max(), 1.0) * np.sqrt(1 / (rate * (n + 1)))
+    return float(max(found, LEAST_Z))
+
+
+def train(docs: DataFrame, rows: int = TRAIN_ROWS, further: int = CALIBRATION_ROWS) -> Model | None:
     """docs: the documents (doc_id, text, lang) that may be learnt from."""
     known = ensure_columns(docs, doc_id="long", text="string", lang="string").filter("lang is not null and text is not null")
     spark = docs.sparkSession
@@ -184,21 +207,21 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model | None:
     luck = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     some = known.join(F.broadcast(share), "lang").withColumn("luck", luck).filter("luck < share")
     place = F.row_number().over(Window.partitionBy("lang").orderBy("luck", "doc_id"))
-    sample = some.withColumn("place", place).filter(F.col("place") <= rows).select("lang", "place", "text")
+    sample = some.withColumn("place", place).filter(F.col("place") <= rows).select("lang", "place", "luck", "text")
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("place")
-        return pa.table({"lang": table["lang"].slice(0, 1), "texts": pa.array([_train(table["text"].to_pylist())], pa.binary())})
+        return pa.table({"lang": table["lang"].slice(0, 1), "luck": table["luck"].slice(len(table) - 1), "texts": pa.array([_train(table["text"].to_pylist())], pa.binary())})
 
-    found = sorted((r.lang, *pickle.loads(bytes(r.texts))) for r in sample.groupBy("lang").applyInArrow(run, "lang string, texts binary").toLocalIterator())
+    found = sorted((r.lang, *pickle.loads(bytes(r.texts)), r.luck) for r in sample.groupBy("lang").applyInArrow(run, "lang string, luck double, texts binary").toLocalIterator())
     found = [x for x in found if x[1]]
     if not found:
         return None
-    alphabet = len(np.unique(np.concatenate([s for _, used, _ in found for s in used]))) + 1
-    models = [KneserNey(used, alphabet) for _, used, _ in found]
-    model = Model([lang for lang, _, _ in found], models, [(0, 1, 1)] * len(found))
+    alphabet = len(np.unique(np.concatenate([s for _, used, _, _ in found for s in used]))) + 1
+    models = [KneserNey(used, alphabet) for _, used, _, _ in found]
+    model = Model([lang for lang, _, _, _ in found], models, [(0, 1, 1)] * len(found))
     spread = []
-    for k, (_, used, held) in enumerate(found):
+    for k, (_, used, held, _) in enumerate(found):
         logs = [-model.logs(s)[:, k].astype(float) for s in held or used]
         means, sizes_ = np.array([x.mean() for x in logs]), np.array([len(x) for x in logs])
         mean = float(np.average(means, weights=sizes_))
@@ -206,20 +229,41 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model | None:
         between = float(np.average((means - mean) ** 2, weights=sizes_))
         spread.append((mean, within, between))
     model.spread = np.array(spread)
+    left_out = {lang: [_nearest(model, s)[2] for s in held] for lang, _, held, _ in found}
+    count = {r.lang: r["count"] for r in sizes}
+    # documents just beyond the sample's hashes; a row that is there many times counts once
+    after = spark.createDataFrame([(lang, luck, luck + further / count[lang]) for lang, _, _, luck in found], "lang string, after double, until double")
+    more = known.join(F.broadcast(after), "lang").withColumn("luck", luck).filter("luck > after and luck <= until").select("lang", "luck", "text")
+    for r in more.mapInArrow(_measurer(spark, model), "lang string, luck double, z double").groupBy("lang", "luck").agg(F.max("z").alias("z")).collect():
+        left_out[r.lang].append(r.z)
+    model.limits = np.array([limit(np.array(left_out[lang])) for lang in model.langs])
     return model
 
 
-def identify(docs: DataFrame, model: Model | None, reject_z: float = REJECT_Z) -> DataFrame:
+def _measurer(spark: SparkSession, model: Model):
+    sent = spark.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            s = [symbols(x.as_py()) for x in batch.column("text")]
+            z = [_nearest(sent.value, x)[2] if len(x) >= ORDER else None for x in s]
+            rows = pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("luck"), pa.array(z, pa.float64())], names=["lang", "luck", "z"])
+            yield rows.filter(rows.column("z").is_valid())
+
+    return run
+
+
+def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, lang_pred, score (0 to 1), cross_entropy (nats a character) and rejected."""
-    return docs.select("doc_id", "text").mapInArrow(_scorer(docs, model, reject_z, False), "doc_id long, lang_pred string, score double, cross_entropy double, rejected boolean")
+    return docs.select("doc_id", "text").mapInArrow(_scorer(docs, model, False), "doc_id long, lang_pred string, score double, cross_entropy double, rejected boolean")
 
 
-def accepted(docs: DataFrame, model: Model | None, reject_z: float = REJECT_Z) -> DataFrame:
+def accepted(docs: DataFrame, model: Model | None) -> DataFrame:
     """The rows of docs that aren't rejected, with all their columns."""
-    return docs.mapInArrow(_scorer(docs, model, reject_z, True), docs.schema)
+    return docs.mapInArrow(_scorer(docs, model, True), docs.schema)
 
 
-def _scorer(docs: DataFrame, model: Model | None, reject_z: float, keep_rows: bool):
+def _scorer(docs: DataFrame, model: Model | None, keep_rows: bool):
     sent = docs.sparkSession.sparkContext.broadcast(model)
     schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("cross_entropy", pa.float64()), ("rejected", pa.bool_())])
 
@@ -228,7 +272,7 @@ def _scorer(docs: DataFrame, model: Model | None, reject_z: float, keep_rows: bo
         for batch in batches:
             out: list[tuple] = []
             for value in batch.column("text"):
-                out.append(_one(own, value.as_py(), reject_z))
+                out.append(_one(own, value.as_py()))
             if keep_rows:
                 yield batch.filter(pa.array([not row[3] for row in out], pa.bool_()))
                 continue
@@ -242,20 +286,26 @@ def _scorer(docs: DataFrame, model: Model | None, reject_z: float, keep_rows: bo
 _PART = 1 << 17
 
 
-def _one(model: Model | None, text: str | None, reject_z: float) -> tuple[str, float, float | None, bool]:
-    s = symbols(text)
+def _nearest(model: Model, s: np.ndarray) -> tuple[int, np.ndarray, float]:
+    """The language of the lowest cross-entropy, every language's cross-entropy, and the z of the lowest."""
     n = len(s) - ORDER + 1
-    if n <= 0 or model is None:
-        return "und", 0.0, None, True
     total = np.zeros(len(model.langs))
     for at in range(0, n, _PART):
         total += model.logs(s[at : min(at + _PART, n) + ORDER - 1]).sum(0, dtype=np.float64)
     entropy = -total / n
     best = int(np.argmin(entropy))
-    certainty = np.exp(-(entropy - entropy[best]) * min(n, EVIDENCE))
     mean, within, between = model.spread[best]
-    z = (entropy[best] - mean) / np.sqrt(between + 4 * within / n + 1e-12)
-    return model.langs[best], float(1 / certainty.sum()), float(entropy[best]), bool(z > reject_z)
+    return best, entropy, float((entropy[best] - mean) / np.sqrt(between + 4 * within / n + 1e-12))
+
+
+def _one(model: Model | None, text: str | None) -> tuple[str, float, float | None, bool]:
+    s = symbols(text)
+    n = len(s) - ORDER + 1
+    if n <= 0 or model is None:
+        return "und", 0.0, None, True
+    best, entropy, z = _nearest(model, s)
+    certainty = np.exp(-(entropy - entropy[best]) * min(n, EVIDENCE))
+    return model.langs[best], float(1 / certainty.sum()), float(entropy[best]), bool(z > model.limits[best])
 
 
 def learnable(docs: DataFrame, parts: int = 4, held_out: int = 2) -> DataFrame:

@@ -74,6 +74,32 @@ def test_language_id(spark, sf_dir):
     assert np.mean([r.rejected for r in got]) < 0.02
 
 
+def test_language_id_rejects_what_it_never_saw(spark):
+    import random
+
+    rng = random.Random(9)
+
+    def language(letters):
+        words = ["".join(rng.choice(letters) for _ in range(rng.randint(2, 8))) for _ in range(150)]
+        return lambda n: " ".join(rng.choice(words) for _ in range(n))
+
+    own, other, left_out = language("abcdefghiklmnorst"), language("aeiouklmnprst"), language("abdefgilmnoprstuvz")
+    rows = [(i, f(rng.randint(20, 200)), lang) for i, (f, lang) in enumerate([(own, "aa"), (other, "bb")] * 500)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 200, 300)
+    clean = [own(rng.randint(20, 200)) for _ in range(300)] + [other(rng.randint(20, 200)) for _ in range(300)]
+    rejected = lambda texts: np.mean([langid._one(model, t)[3] for t in texts])
+    assert rejected(clean) < 0.02
+    assert rejected(["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(100)) for _ in range(50)]) == 1
+    assert rejected(["".join(rng.choice("абвгдежзийклмнопр ") for _ in range(30)) for _ in range(50)]) == 1
+    assert rejected([left_out(30) for _ in range(50)]) > 0.9
+
+
+def test_language_id_limit():
+    z = np.arange(1000.0)
+    assert np.mean(z > langid.limit(z, 0.01)) <= 0.01 and langid.limit(z, 0.01) < 992
+    assert langid.limit(np.array([3.0]), 0.005) == pytest.approx(30) and langid.limit(z[:0]) == langid.UNKNOWN_Z
+
+
 def test_language_id_edge_cases(nasty, odd, empty):
     model = langid.train(langid.learnable(nasty))
     got = {r.doc_id: r for r in langid.identify(nasty, model).collect()}
