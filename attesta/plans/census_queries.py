@@ -176,7 +176,7 @@ def hilbert_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def curve_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frechet and Hausdorff distances of each label's curve to the next label's."""
-    curves = geometry.curve(_points(spark, sf_dir).filter("id % 4 = 0"), "label", "id", "coord")
+    curves = geometry.curve(_points(spark, sf_dir), "label", "id", "coord")
     pairs = curves.join(curves.select((F.col("label") - 1).alias("label"), F.col("curve").alias("other")), "label")
     out = geometry.curve_distance(geometry.curve_distance(pairs, "curve", "other", "frechet", "frechet"), "curve", "other", "hausdorff", "hausdorff")
     return out.select("label", "frechet", "hausdorff")
