@@ -178,6 +178,35 @@ def test_seating():
     assert t[0] == 0 and t[1] == 1 and 1 <= t[2] <= 2 and t[3] < 1.5 < 10 < t[4] < 50 and 1 < t[5] < 100
 
 
+def test_seating_is_what_whole_sweeps_reach():
+    def exact(c, m, d=0.7):
+        # weights of 0 to c tables, customer by customer
+        w = np.array([0.0, 1.0])
+        for n in range(1, c):
+            w = np.append(w * np.maximum(n - d * np.arange(len(w)), 0), 0) + np.append(0, w * m)
+            w /= w.sum()
+        return w @ np.arange(len(w))
+
+    def sampled(c, m, rng, d=0.7, sweeps=300):
+        table, size, total = np.zeros(c, int), {0: c}, 0
+        for sweep in range(sweeps):
+            for who in range(c):
+                size[table[who]] -= 1
+                size = {t: k for t, k in size.items() if k}
+                names, weights = [*size, max(size, default=0) + 1], np.array([*(k - d for k in size.values()), m])
+                table[who] = rng.choice(names, p=weights / weights.sum())
+                size[table[who]] = size.get(table[who], 0) + 1
+            total += len(size) * (sweep >= sweeps // 6)
+        return total / (sweeps - sweeps // 6)
+
+    cases = [(2, 1.0), (5, 0.01), (63, 3.0), (64, 3.0), (200, 2.0), (1000, 10.0), (4000, 50.0), (4000, 117.0), (4096, 117.0), (9000, 117.0), (9000, 1e-6)]
+    got = pitman_yor.seat(*map(np.array, zip(*cases, strict=True)), 0.7)
+    assert got == pytest.approx([exact(c, m) for c, m in cases], rel=1e-6)
+    assert got[4] == pytest.approx(sampled(200, 2.0, np.random.default_rng(3)), rel=0.15)
+    huge = pitman_yor.seat(np.array([10**9, 10**6]), np.array([5.0, 0.7]), 0.7)
+    assert huge == pytest.approx([1 + 5 / 0.7, 2], rel=1e-3)
+
+
 # --- 5, 8
 
 
