@@ -65,8 +65,8 @@ def base_counts(data: np.ndarray, starts: np.ndarray) -> dict[str, np.ndarray]:
     cut = np.flatnonzero(data == 10)
     line_begin = np.unique(np.concatenate([starts[:-1][np.diff(starts) > 0], cut + 1]))
     line_begin = line_begin[line_begin < len(data)]
-    line_end = np.append(line_begin[1:], len(data))
-    line_end -= data[line_end - 1] == 10 if len(line_end) else 0
+    line_end = np.append(line_begin[1:], len(data))[: len(line_begin)]
+    line_end = line_end - (data[line_end - 1] == 10)
     word_bytes = np.zeros(len(data) + 1, np.int64)
     np.cumsum(~SPACE[data], out=word_bytes[1:])
     has = word_bytes[line_end] > word_bytes[line_begin]
