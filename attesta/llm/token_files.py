@@ -45,7 +45,10 @@ class CachedTokenizer:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        added = sorted((t.content for t in self.library.get_added_tokens_decoder().values()), key=len, reverse=True)
+        #: Tokens that the library takes out of a text before it looks at the rest; what stands between them is a text each.
+        self.added = re.compile("(" + "|".join(map(re.escape, added)) + ")") if added else None
+        self.marks = added
         self.wide = self.library.get_vocab_size() > 1 << 16
         self.type = np.dtype("<u4" if self.wide else "<u2")
         self.cache: dict[str, bytes] = {}
@@ -69,6 +72,13 @@ class CachedTokenizer:
             cache[w] = cache[w[:-1]] + cache[w[-1]]
 
     def encode(self, text: str) -> bytes:
+        if any(mark in text for mark in self.marks):
+            # the pieces at odd places are the added tokens themselves
+            parts = self.added.split(text)
+            return b"".join(self._alone(part) if k % 2 else self._plain(part) for k, part in enumerate(parts))
+        return self._plain(text)
+
+    def _plain(self, text: str) -> bytes:
         words = _WORDS.findall(text)
         try:
             return b"".join(map(self.cache.__getitem__, words))
