@@ -1,14 +1,17 @@
 """Mixing sources to target weights by iterative proportional fitting, with DataFrame functions only.
 
 The cells are the combinations of source, language and topic that occur. Their token weights start at the tokens they
-have and are raked in turn so that each margin's sums become its targets; a target is the share of the square root of
-the value's tokens, which lifts what is rare without emptying what is common. A document is then kept with its cell's
+have and are raked in turn so that each margin's sums become its targets. Targets can be given for each margin as shares of
+its values (those not named get nothing; shares are taken relative to the sum of those that occur); a margin without given
+ones has the shares of the square roots of its values' tokens, which lifts what is rare without emptying what is common.
+margins() says how near the raked weights came. A document is then kept with its cell's
 probability min(1, s * weight / tokens), where s makes the expected tokens KEEP of all: cells that can't give more are
 taken whole, the others share the rest (water filling).
 
 A document's luck is a hash of its id, so runs agree. Defined results: a null source or language is the value '(none)';
 a null text is an empty one; rows without doc_id share one luck; repeated rows are kept or dropped together; a cell
-without any token is kept whole; an empty table gives an empty table; further columns are left alone.
+without any token is kept whole; an empty table gives an empty table. sample() returns the input's own columns whatever
+their names; mix() adds its columns, and an input column of the same name (in any case) gives way to them.
 """
 
 from __future__ import annotations
@@ -33,23 +36,37 @@ def topic() -> Column:
     return F.when(text.contains("icense") | text.contains("opyright"), "legal").when(text.contains(" | "), "table").when(text.contains(' = "'), "code").when(text.contains("555-") | text.contains("@"), "contact").otherwise("prose")
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """docs with the three margins' values, mix_tokens (words) and mix_luck (0 to 1)."""
+def features(docs: DataFrame, subject: Column | None = None) -> DataFrame:
+    """row (all columns of docs) with the three margins' values, mix_tokens (words) and mix_luck (0 to 1).
+
+    subject: an expression over docs for the topic instead of topic().
+    """
     luck = F.conv(F.substring(F.md5(F.concat(F.lit("mix:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
-    return docs.withColumns({
-        "mix_source": F.coalesce(F.col("source").cast("string"), F.lit(_NONE)),
-        "mix_lang": F.coalesce(F.col("lang").cast("string"), F.lit(_NONE)),
-        "mix_topic": topic(),
-        "mix_tokens": F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long"),
-        "mix_luck": luck,
-    })
-
-
-def raked(cells: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """cells (margins, tokens) with weight: shares of the target mix that fit all margins, as near as rounds come."""
-    out = cells
+    return docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        F.coalesce(F.col("source").cast("string"), F.lit(_NONE)).alias("mix_source"),
+        F.coalesce(F.col("lang").cast("string"), F.lit(_NONE)).alias("mix_lang"),
+        F.coalesce(topic() if subject is None else subject.cast("string"), F.lit(_NONE)).alias("mix_topic"),
+        F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("mix_tokens"),
+        luck.alias("mix_luck"),
+    )
+
+
+def _given(m: str, shares: dict[str, float]) -> Column:
+    """The given share of a margin's value, 0 for one that isn't named."""
+    named = F.create_map(*[F.lit(x) for value, share in shares.items() for x in (value, float(share))]) if shares else None
+    return F.coalesce(F.element_at(named, F.col(m)), F.lit(0.0)) if shares else F.lit(0.0)
+
+
+def raked(cells: DataFrame, rounds: int = ROUNDS, targets: dict[str, dict[str, float]] | None = None) -> DataFrame:
+    """cells (margins, tokens) with weight: shares of the target mix that fit all margins, as near as rounds come; and with
+    each margin's target t_<margin>."""
+    targets, out = targets or {}, cells
+    if wrong := set(targets) - set(MARGINS):
+        raise ValueError(f"no such margin: {', '.join(sorted(wrong))}")
     for m in MARGINS:
-        out = out.withColumn(f"t_{m}", F.sqrt(F.sum("tokens").over(Window.partitionBy(m)).cast("double")))
+        own = _given(m, targets[m]) if m in targets else F.sqrt(F.sum("tokens").over(Window.partitionBy(m)).cast("double"))
+        out = out.withColumn(f"t_{m}", own)
     for m in MARGINS:
         # each value counts once, whatever its number of cells
         once = F.row_number().over(Window.partitionBy(m).orderBy(*[x for x in MARGINS if x != m])) == 1
@@ -62,32 +79,54 @@ def raked(cells: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         for m in MARGINS:
             total = F.sum("weight").over(Window.partitionBy(m))
             out = out.withColumn("weight", F.when(total > 0, F.col("weight") * F.col(f"t_{m}") / total).otherwise(0.0))
-    return out.select(*MARGINS, "tokens", "weight")
+    return out.select(*MARGINS, "tokens", "weight", *[f"t_{m}" for m in MARGINS])
+
 
+def margins(cells: DataFrame, rounds: int = ROUNDS, targets: dict[str, dict[str, float]] | None = None) -> DataFrame:
+    """margin, value, target and share: how near the raked weights came to each target."""
+    fitted = raked(cells, rounds, targets)
+    every = None
+    for m in MARGINS:
+        one = fitted.groupBy(F.lit(m).alias("margin"), F.col(m).alias("value")).agg(F.first(f"t_{m}").alias("target"), F.sum("weight").alias("share"))
+        every = one if every is None else every.unionByName(one)
+    return every
 
-def probabilities(cells: DataFrame, keep: float = KEEP, rounds: int = ROUNDS) -> DataFrame:
+
+def probabilities(cells: DataFrame, keep: float = KEEP, rounds: int = ROUNDS, targets: dict[str, dict[str, float]] | None = None) -> DataFrame:
     """cells (margins, tokens) with weight and prob."""
-    out = raked(cells, rounds).withColumn("rate", F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(0.0))
+    out = raked(cells, rounds, targets).withColumn("rate", F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(0.0))
     down = Window.partitionBy().orderBy(F.desc("rate"), *MARGINS)
     every = Window.partitionBy()
     before = F.sum("tokens").over(down.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("tokens")
     rest = F.sum("weight").over(down.rowsBetween(Window.currentRow, Window.unboundedFollowing))
     out = out.withColumns({"place": F.row_number().over(down), "s": F.when(rest > 0, (F.lit(keep) * F.sum("tokens").over(every) - before) / rest)})
     out = out.withColumn("scale", F.min_by(F.when(F.col("s") * F.col("rate") <= 1, F.col("s")), F.when(F.col("s") * F.col("rate") <= 1, F.col("place"))).over(every))
-    prob = F.when((F.col("tokens") == 0) | F.col("scale").isNull(), 1.0).otherwise(F.least(F.lit(1.0), F.col("scale") * F.col("rate")))
+    # without a scale every cell that has a weight is taken whole
+    prob = F.when(F.col("tokens") == 0, 1.0).when(F.col("scale").isNull(), (F.col("rate") > 0).cast("double")).otherwise(F.least(F.lit(1.0), F.col("scale") * F.col("rate")))
     return out.select(*MARGINS, "tokens", "weight", prob.alias("prob"))
 
 
-def mix(docs: DataFrame, keep: float = KEEP, rounds: int = ROUNDS) -> DataFrame:
-    """docs with the margins, mix_tokens, mix_luck, weight and prob of the cell, and kept."""
-    rows = features(docs)
+def _mixed(docs: DataFrame, keep: float, rounds: int, targets: dict[str, dict[str, float]] | None, subject: Column | None) -> DataFrame:
+    rows = features(docs, subject)
     cells = stage(rows.groupBy(*MARGINS).agg(F.sum("mix_tokens").alias("tokens")), "mix-cells")
     small = cells.limit(SMALL + 1).count() <= SMALL
-    table = stage(probabilities(cells.coalesce(1) if small else cells, keep, rounds).drop("tokens"), "mix-probabilities")
+    table = stage(probabilities(cells.coalesce(1) if small else cells, keep, rounds, targets).drop("tokens"), "mix-probabilities")
     joined = rows.join(F.broadcast(table) if small else table, list(MARGINS))
     return joined.withColumn("kept", F.col("mix_luck") < F.col("prob"))
 
 
+def mix(docs: DataFrame, keep: float = KEEP, rounds: int = ROUNDS, targets: dict[str, dict[str, float]] | None = None, subject: Column | None = None) -> DataFrame:
+    """docs with the margins, mix_tokens, mix_luck, weight and prob of the cell, and kept."""
+    added = [*MARGINS, "mix_tokens", "mix_luck", "weight", "prob", "kept"]
+    own = [F.col("row")[c].alias(c) for c in docs.columns if c.lower() not in added]
+    return _mixed(docs, keep, rounds, targets, subject).select(*own, *added)
+
+
+def sample(docs: DataFrame, keep: float = KEEP, rounds: int = ROUNDS, targets: dict[str, dict[str, float]] | None = None, subject: Column | None = None) -> DataFrame:
+    """The kept rows of docs, with the columns of docs."""
+    return _mixed(docs, keep, rounds, targets, subject).filter("kept").select("row.*")
+
+
 def oracle_sql(keep: float = KEEP, rounds: int = ROUNDS) -> str:
     """The same in DuckDB's SQL, the rounds written out."""
     a, b, c = MARGINS
