@@ -1,19 +1,20 @@
 """Exact top-k inner products by no-random-access aggregation (NRA) over sorted lists.
 
-Each dimension is a list of the candidates sorted by that component; a query reads it from the end that its own sign
-favours. After reading all lists down to a common depth, what has been read is summed exactly; what hasn't is at most
-the list's frontier (the last value read) and at least the list's other end. That gives every candidate an upper and a
-lower bound. The k-th best lower bound is a threshold: a query stops reading when no candidate outside its k best lower
-bounds has an upper bound that reaches it, and the scores of those that can still qualify are then resolved. Ties at the
-threshold stay in, since a smaller id wins them.
+Each dimension is a list of the candidates sorted by that component; a query reads all lists in step, each from the end
+that its own sign favours, in slabs (DEPTHS). What it reads of a candidate is added to that candidate's sum; a component
+that it hasn't read yet contributes at most the list's frontier (the last value read) and at least the list's other end.
+That gives every candidate an upper and a lower bound. The k-th best lower bound is a threshold: candidates whose upper bound
+stays below it are outsiders and are dropped for good. Reading stops when those left are so few (LEFT of the block, or 2 k)
+that resolving their scores is less than the next slab, or when the lists end. Ties at the threshold stay in, since a
+smaller id wins them. counters() says how many entries of the lists were read.
 
 Candidates are cut into blocks, each with its own lists; every block meets every block of queries, and hands on at most k
-rows a query. For all queries of a block, the bounds at one depth are two matrix products over clipped components: a
-component that hasn't been read is replaced by the frontier (or the other end), one that has been read by itself.
+rows a query.
 
 Defined results: vectors that are null, empty or hold a null, NaN or infinite component take no part, nor do rows without
 vec_id; vectors of different lengths don't meet; equal scores go to the smaller vec_id; repeated rows are candidates each,
-but never of a query with their own vec_id; with fewer than k candidates all are given.
+but never of a query with their own vec_id; queries that share a vec_id are one query, with the vector that sorts first;
+with fewer than k candidates all are given.
 """
 
 from __future__ import annotations
@@ -26,10 +27,12 @@ from pyspark.sql import functions as F
 
 from .common import ensure_columns
 
-BLOCK = 512
+BLOCK = 4096
 QUERY_BLOCK = 4096
 #: Depths (shares of each list) to which the lists are read in turn.
-DEPTHS = (0.1, 0.3, 0.6, 1.0)
+DEPTHS = (0.1, 0.3, 0.5, 0.6, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95, 1.0)
+#: Share of a block's candidates that may be left for resolving.
+LEFT = 1 / 16
 SCALE = 1024
 
 
@@ -50,76 +53,109 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return at[np.lexsort((ids[at], -scores[at]))][:k]
 
 
+class Lists:
+    """A block's sorted lists: for each dimension the candidates' places in ascending order of that component."""
+
+    def __init__(self, vectors: np.ndarray, ids: np.ndarray):
+        self.vectors, self.ids = vectors, ids
+        self.order = np.argsort(vectors, axis=0, kind="stable").astype(np.int32)
+        self.sorted = np.take_along_axis(vectors, self.order, axis=0)
+        self.ends = self.sorted[[0, -1]] if len(vectors) else np.zeros((2, vectors.shape[1]))
+
+    def search(self, query: np.ndarray, own: int, k: int, depths: tuple[float, ...] = DEPTHS) -> tuple[np.ndarray, np.ndarray, int]:
+        """Places and scores of the k best candidates whose id isn't own, and how many entries were read."""
+        n, dims = self.vectors.shape
+        down = query >= 0
+        worst = np.where(down, self.ends[0], self.ends[1]) * query
+        total, unread = np.zeros(n), np.ones((n, dims), np.float32)
+        alive, columns = np.flatnonzero(self.ids != own), np.arange(dims)
+        read, done = 0, 0
+        for depth in depths:
+            upto = min(n, max(1, int(np.ceil(depth * n))))
+            # every list's next entries, from the end that the query favours
+            rows = np.arange(done, upto)[:, None]
+            rows = np.where(down, n - 1 - rows, rows)
+            place = self.order[rows, columns]
+            total += np.bincount(place.ravel(), (self.sorted[rows, columns] * query).ravel(), n)
+            unread[place, columns] = 0
+            read, done = read + place.size, upto
+            if done == n:
+                break
+            frontier = self.sorted[rows[-1], columns] * query
+            bounds = unread[alive] @ np.stack([frontier, worst], 1) + total[alive, None]
+            if len(alive) > k:
+                kth = np.partition(bounds[:, 1], len(alive) - k)[len(alive) - k]
+                alive = alive[bounds[:, 0] >= kth]
+            if len(alive) <= max(2 * k, LEFT * n):
+                # outsiders can't qualify; the rest of the lists is needed for those left only
+                read += int(unread[alive].sum())
+                total[alive] = self.vectors[alive] @ query
+                break
+        best = alive[_best(total[alive], self.ids[alive], k)]
+        return best, total[best], read
+
+
 def nra(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int, depths: tuple[float, ...] = DEPTHS) -> tuple[list[tuple[int, int, float]], float]:
-    """(query, candidate, score) of each query's k best, and the mean share of the lists that was read."""
-    n = len(vectors)
-    lists = np.sort(vectors, axis=0)
-    low, high = lists[0], lists[-1]
-    plus, minus = np.maximum(queries, 0), np.minimum(queries, 0)
-    own = query_ids[:, None] == ids[None, :]
-    open_, found, read = np.arange(len(queries)), [], 0.0
-    for depth in depths:
-        m = min(n, max(1, int(np.ceil(depth * n))))
-        top, bottom = lists[n - m], lists[m - 1]  # the frontiers of the two reading directions
-        p, q = plus[open_], minus[open_]
-        full = m == n
-        # read from the top: at least the frontier; from the bottom: at most the frontier
-        upper = p @ np.maximum(vectors, top).T + q @ np.minimum(vectors, bottom).T
-        lower = upper if full else p @ np.where(vectors >= top, vectors, low).T + q @ np.where(vectors <= bottom, vectors, high).T
-        going = []
-        for row, i in enumerate(open_):
-            may = np.flatnonzero(~own[i])
-            kth = np.partition(lower[row, may], len(may) - k)[len(may) - k] if len(may) > k else -np.inf
-            left = may[upper[row, may] >= kth]
-            if full or len(left) <= 2 * k:
-                # outsiders can't qualify; the rest of the lists is read for those left only
-                scores = vectors[left] @ queries[i]
-                found += [(int(i), int(left[b]), float(scores[b])) for b in _best(scores, ids[left], k)]
-                read += depth
-            else:
-                going.append(i)
-        open_ = np.array(going, np.int64)
-        if not len(open_):
-            break
-    return found, read / max(len(queries), 1)
+    """(query, candidate, score) of each query's k best, and the share of the lists' entries that was read."""
+    lists, found, read = Lists(vectors, ids), [], 0
+    for i, (query, own) in enumerate(zip(queries, query_ids, strict=True)):
+        at, scores, entries = lists.search(query, own, k, depths)
+        found += zip([i] * len(at), at.tolist(), scores.tolist(), strict=True)
+        read += entries
+    return found, read / max(len(queries) * vectors.size, 1)
 
 
-def search(queries: DataFrame, vectors: DataFrame, k: int, block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
-    """query_id, rank, vec_id, score: the k best of vectors for each of queries (both as scaled() gives them).
+def _cells(queries: DataFrame, vectors: DataFrame, k: int, block: int, query_block: int) -> DataFrame:
+    """query_id, vec_id, score of each cell's best; and one row of each cell with nulls but the entries read and held.
 
-    A cell is one block of candidates and one block of queries; both are dealt out by a hash of the id, so that neither
-    equal vectors nor anything else about the data makes one cell larger than another.
+    A cell is one block of candidates and one block of queries; rows are dealt out by a hash, candidates by one of their
+    number too, so that neither equal vectors nor equal ids make one cell larger than another.
     """
+    # the two sides of a cogroup must not share a column that both come from
+    queries = queries.select(F.col("vec_id").alias("query_id"), "v").groupBy("query_id").agg(F.min("v").alias("v"))
     many = max(1, -(-vectors.count() // block))
     rounds = max(1, -(-queries.count() // query_block))
     cells = F.explode(F.sequence(F.lit(0), F.lit(rounds - 1)))
-    left = vectors.select(F.pmod(F.xxhash64("vec_id"), F.lit(many)).cast("long").alias("c"), cells.alias("q"), "vec_id", "v")
+    deal = F.xxhash64("vec_id", F.monotonically_increasing_id())
+    left = vectors.withColumn("c", F.pmod(deal, F.lit(many)).cast("long")).select("c", cells.alias("q"), "vec_id", "v")
     spread = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(many - 1).cast("long")))
-    right = queries.select(spread.alias("c"), F.pmod(F.xxhash64("vec_id"), F.lit(rounds)).cast("int").alias("q"), "vec_id", "v")
-    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+    right = queries.select(spread.alias("c"), F.pmod(F.xxhash64("query_id"), F.lit(rounds)).cast("int").alias("q"), "query_id", "v")
+    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64()), ("entries_read", pa.int64()), ("entries", pa.int64())])
 
     def meet(ours: pa.Table, theirs: pa.Table) -> pa.Table:
-        rows: list[tuple[int, int, int]] = []
-        a, b = by_length(ours), by_length(theirs)
+        rows: list[tuple] = []
+        a, b = by_length(ours, "vec_id"), by_length(theirs, "query_id")
         for dim in a.keys() & b.keys():
             (ids, v), (query_ids, q) = a[dim], b[dim]
-            for i, c, score in nra(q, query_ids, v, ids, k)[0]:
-                rows.append((int(query_ids[i]), int(ids[c]), int(score)))
-        columns = zip(*rows, strict=True) if rows else [[]] * 3
+            found, share = nra(q, query_ids, v, ids, k)
+            rows += [(int(query_ids[i]), int(ids[c]), int(score), None, None) for i, c, score in found]
+            rows.append((None, None, None, round(share * len(q) * v.size), len(q) * v.size))
+        columns = zip(*rows, strict=True) if rows else [[]] * len(schema)
         return pa.table([pa.array(x, f.type) for x, f in zip(columns, schema, strict=True)], schema=schema)
 
-    found = left.groupBy("c", "q").cogroup(right.groupBy("c", "q")).applyInArrow(meet, "query_id long, vec_id long, score long")
+    kinds = "query_id long, vec_id long, score long, entries_read long, entries long"
+    return left.groupBy("c", "q").cogroup(right.groupBy("c", "q")).applyInArrow(meet, kinds)
+
+
+def search(queries: DataFrame, vectors: DataFrame, k: int, block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
+    """query_id, rank, vec_id, score: the k best of vectors for each of queries (both as scaled() gives them)."""
+    found = _cells(queries, vectors, k, block, query_block).filter("query_id is not null")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", place).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def by_length(rows: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+def counters(queries: DataFrame, vectors: DataFrame, k: int, block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
+    """One row: entries_read and entries, what the search reads of the lists and what they hold, over all queries."""
+    return _cells(queries, vectors, k, block, query_block).agg(F.sum("entries_read").alias("entries_read"), F.sum("entries").alias("entries"))
+
+
+def by_length(rows: pa.Table, name: str) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """Ids and matrix of the vectors of each length."""
     rows = rows.combine_chunks()
     sizes = pc.list_value_length(rows["v"]).to_numpy()
     out = {}
     for dim in np.unique(sizes):
         own = rows.filter(pa.array(sizes == dim)).combine_chunks()
-        ids = own["vec_id"].to_numpy()
+        ids = own[name].to_numpy()
         out[int(dim)] = ids, np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in own["v"].chunks]).reshape(-1, int(dim))
     return out
