@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -34,25 +35,36 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of its own where that is unset, as in tests."""
+    """The folder that the cluster names in spark.checkpoint.dir; a temporary one where that is unset and all tasks run in
+    the driver's own process, as in tests. On a cluster without that setting there is no shared folder: an error."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="attesta-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 
 
-_SCRATCH: list[list[str]] = []
+class _Scratch(threading.local):
+    """What each thread has staged inside its scratch()s, so that queries in several threads keep to their own."""
+
+    def __init__(self):
+        self.open: list[list[str]] = []
+
+
+_SCRATCH = _Scratch()
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Tables that are staged inside are deleted at the end, but for those staged with keep: an operator's result."""
-    _SCRATCH.append([])
+    _SCRATCH.open.append([])
     try:
         yield
     finally:
-        for path in _SCRATCH.pop():
+        for path in _SCRATCH.open.pop():
             where = spark._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
@@ -64,8 +76,8 @@ def stage(df: DataFrame, name: str, codec: str = "zstd", keep: bool = False) ->
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    if _SCRATCH and not keep:
-        _SCRATCH[-1].append(path)
+    if _SCRATCH.open and not keep:
+        _SCRATCH.open[-1].append(path)
     schema = df.schema
     df.write.option("compression", codec).parquet(path)
     spark.sparkContext._jvm.System.gc()
@@ -84,8 +96,8 @@ def bucketed(docs: DataFrame, bucket_bytes: int, chunks: int) -> DataFrame:
     name = f"attesta_{uuid.uuid4().hex}"
     writer = rows.repartition(buckets, "chunk").write.bucketBy(buckets, "chunk").option("compression", "zstd")
     path = f"{shared_dir(spark)}/{name}"
-    if _SCRATCH:
-        _SCRATCH[-1].append(path)
+    if _SCRATCH.open:
+        _SCRATCH.open[-1].append(path)
     writer.option("path", path).saveAsTable(name)
     table = spark.table(name)
     spark.sql(f"DROP TABLE {name}")  # its files stay, as it is external
@@ -118,7 +130,12 @@ def parts(df: DataFrame, target: int) -> int:
     Each chunk sends each group one packet, so more groups than tasks would only make packets smaller.
     """
     conf = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return min(max(conf, input_bytes(df) // target + 1), 1 << 16)
+    return max(conf, input_bytes(df) // target + 1)
+
+
+def group_of(keys: np.ndarray, groups: int) -> np.ndarray:
+    """The group that each hash goes to, by its 32 low bits; the 48 high ones tell the keys of a group apart."""
+    return ((keys & np.uint64(0xFFFFFFFF)) % np.uint64(groups)).astype(np.int32)
 
 
 def crc32_mod(col: str, n: int):

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, ensure_columns, flat, is_scan, mix, parts, pieces, scratch, stage, word_hash, words
+from .common import LOWER, ensure_columns, flat, group_of, is_scan, mix, parts, pieces, scratch, stage, word_hash, words
 from .components import components
 
 #: Bytes of text in a chunk; a longer text is a chunk of its own.
@@ -94,7 +94,7 @@ def _chunks(groups: int, n: int):
         rows = [(chunk % groups, chunk, True, id_bytes, np.array([len(s) for s in found], np.int64).tobytes(), b"".join(g or bytes(16) for g in signs), np.array([classes.get(g, -1) for g in signs], np.int32).tobytes())]
         if reps:
             key = np.concatenate(reps)
-            group = ((key & np.uint64(0xFFFF)) % np.uint64(groups)).astype(np.uint16)
+            group = group_of(key, groups)
             own = np.repeat(np.arange(len(reps)), sizes)
             order = np.argsort(group, kind="stable")
             key, group, own = key[order] >> np.uint64(16), group[order], own[order]
@@ -171,7 +171,7 @@ def _gather(threshold: int):
         answers = sorted((r for r in rows if not r["header"]), key=lambda r: r["grp"])
         if answers:
             own = np.concatenate([np.repeat(np.arange(classes), np.frombuffer(r["a"], np.uint32).astype(np.int64)) for r in answers])
-            key = np.concatenate([np.frombuffer(r["b"], np.uint64) << np.uint64(16) | np.uint64(r["grp"]) for r in answers])
+            key = np.concatenate([np.frombuffer(r["b"], np.uint64) << np.uint64(16) | np.uint64(r["grp"] & 0xFFFF) for r in answers])
             df = np.concatenate([np.frombuffer(r["c"], np.uint32) for r in answers])
             size = np.zeros(classes, np.int64)
             size[cls[cls >= 0]] = n[cls >= 0]

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
-from .common import bucketed, flat, gram_hash, mix, parts, scratch, stage, word_hash
+from .common import bucketed, flat, gram_hash, group_of, mix, parts, scratch, stage, word_hash
 
 #: Bytes of a repeated string, and of the k-grams that are anchors.
 LENGTH = 50
@@ -176,7 +176,7 @@ def _send_anchors(groups: int):
         if chunk is not None:
             own = _Chunk(docs, notes)
             keys, several = own.anchors()
-            group = ((keys & np.uint64(0xFFFF)) % np.uint64(groups)).astype(np.uint16)
+            group = group_of(keys, groups)
             order = np.argsort(group, kind="stable")
             keys, several, group = keys[order], several[order], group[order]
             cut = np.searchsorted(group, np.arange(groups + 1))

@@ -218,6 +218,8 @@ def test_quality(spark, nasty, odd, empty):
         assert sorted(str((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words)) for r in got) == want
         assert all(r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words) and not (r.kept and r.base_failed) for r in got)
     assert quality.score_documents(empty, marks).count() == 0
+    blank = spark.createDataFrame([(1, None), (2, ""), (3, None)], "doc_id long, text string")
+    assert [(r.n_words, r.base_failed, r.kept) for r in quality.score_documents(blank, marks).collect()] == [(0, True, False)] * 3
     none = quality.score_documents(nasty, marks.limit(0)).collect()
     assert all(r.quality is None and r.kept != r.base_failed for r in none)
 
@@ -253,7 +255,6 @@ def test_token_files(spark, nasty, odd, empty, tmp_path):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(BYTES)
-    library.encode_special_tokens = True
     path, index = token_files.export(nasty, BYTES, 2, f"file://{tmp_path}/a")
     got, start = sorted(index.collect(), key=lambda r: r.start), 0
     for r, (i, t) in zip(got, sorted(pairs(nasty)), strict=True):
@@ -270,10 +271,22 @@ def test_token_files(spark, nasty, odd, empty, tmp_path):
     torn[30] ^= 1
     with pytest.raises(ValueError, match="checksum"):
         list(token_files.frames(bytes(torn)))
+    assert any(x >= 0x80 for x in raw)
     assert token_files.export(odd, BYTES, 2)[1].count() == odd.count()
     assert token_files.export(empty, BYTES, 2)[1].count() == 0
 
 
+def test_added_tokens_are_the_librarys():
+    import random
+
+    from tokenizers import Tokenizer
+
+    library, own, rng = Tokenizer.from_file(BYTES), token_files.CachedTokenizer(BYTES), random.Random(6)
+    for _ in range(2000):
+        text = "".join(rng.choice(["<|endoftext|>", "<|endoftext", "|>", " ", "  ", "\n", "a", "b,", "é", "1", "\u3000"]) for _ in range(rng.randint(0, 12)))
+        assert list(np.frombuffer(own.encode(text), own.type)) == library.encode(text, add_special_tokens=False).ids
+
+
 # --- 7
 
 
@@ -286,6 +299,34 @@ def test_mixing(nasty, odd, empty):
     assert mixing.mix(odd).count() == odd.count() and mixing.mix(empty).count() == 0
 
 
+def test_mixing_to_given_targets(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = [(i, "word " * rng.randint(1, 30), rng.choice("ab"), rng.choice(["en", "de", "fr"])) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    targets = {"mix_source": {"a": 3, "b": 1}, "mix_lang": {"en": 0.5, "de": 0.5}}
+    cells = mixing.features(docs).groupBy(*mixing.MARGINS).agg(F.sum("mix_tokens").alias("tokens"))
+    for r in mixing.margins(cells, targets=targets).collect():
+        assert r.share == pytest.approx(r.target, abs=1e-6)
+    # what can be kept without going beyond what there is: the plain ratios come out
+    got = mixing.mix(docs, keep=0.3, targets=targets).filter("kept").groupBy("mix_source").agg(F.sum("mix_tokens").alias("n")).collect()
+    share = {r.mix_source: r.n for r in got}
+    assert share["a"] / sum(share.values()) == pytest.approx(0.75, abs=0.05)
+    assert mixing.sample(docs, keep=0.3, targets=targets).filter("lang = 'fr'").count() == 0
+    with pytest.raises(ValueError, match="no such margin"):
+        mixing.mix(docs, targets={"language": {}})
+
+
+def test_mixing_leaves_clashing_columns(spark):
+    names = ["weight", "prob", "KEPT", "mix_topic", "chunk", "tokens", "row"]
+    docs = spark.createDataFrame([(i, "a b", "s", "en", *range(len(names))) for i in range(9)], "doc_id long, text string, source string, lang string, " + ", ".join(f"{n} int" for n in names))
+    own = mixing.sample(docs, keep=1.0)
+    assert own.columns == docs.columns and all(tuple(r)[4:] == tuple(range(len(names))) for r in own.collect())
+    got = mixing.mix(docs)
+    assert got.columns.count("weight") == 1 and {"chunk", "tokens", "row", "kept"} <= set(got.columns) and got.count() == 9
+
+
 # --- 9
 
 
@@ -313,7 +354,28 @@ def test_nra_stops_early_where_it_can():
     v = np.abs(rng.normal(size=(400, 2))) * 1024 // 1
     v[7] = 9000
     found, read = topk.nra(np.array([[1.0, 1.0]]), np.array([-1]), v, np.arange(400), 1)
-    assert found[0][1] == 7 and read < 1
+    assert found[0][1] == 7 and read < 0.2
+    # signs, ties and fewer candidates than k
+    v = rng.integers(-3, 4, (300, 5)).astype(float)
+    for q in rng.integers(-3, 4, (30, 5)).astype(float):
+        got, _ = topk.nra(q[None], np.array([4]), v, np.arange(300), 7)
+        want = sorted((-int(x @ q), i) for i, x in enumerate(v) if i != 4)[:7]
+        assert [(-s, i) for _, i, s in got] == want
+    assert len(topk.nra(v[:1], np.array([0]), v[:5], np.arange(5), 7)[0]) == 4
+
+
+def test_top_k_reads_less_than_the_lists(spark, sf_dir):
+    own = topk.scaled(spark.read.parquet(sf_dir.replace("sf0.001", "sf0.1") + "/embeddings.parquet"))
+    row = topk.counters(own.filter("vec_id % 100 = 0"), own, 10).first()
+    assert 0 < row.entries_read < row.entries
+
+
+def test_top_k_of_repeated_rows(spark):
+    rows = [(0, [1.0, 2.0]), (0, [1.0, 2.0]), (0, [0.5, 9.0]), *((i, [float(i), 1.0]) for i in range(1, 8)), (5, [5.0, 1.0])]
+    own = topk.scaled(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = [(r.rank, r.vec_id) for r in topk.search(own.filter("vec_id = 0"), own, 4).orderBy("rank").collect()]
+    # one query, the vector that sorts first; the candidate that is there twice counts twice
+    assert got[0] == (1, 7) and [r for r, _ in got] == [1, 2, 3, 4] and [i for _, i in got] == [7, 6, 5, 5]
 
 
 # --- 10
