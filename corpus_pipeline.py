@@ -30,7 +30,7 @@ def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A sample whose tokens come near the target weights of sources, languages and topics."""
-    return mixing.mix(docs).filter("kept").select(*docs.columns)
+    return mixing.sample(docs)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
