@@ -48,9 +48,12 @@ def read_relation_law(spark: SparkSession, path: str) -> DataFrame:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a temporary one of this session where that is unset."""
+    """The cluster's shared folder (spark.checkpoint.dir); where that is unset, a temporary one if all runs in one process."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="attesta-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
