@@ -21,6 +21,7 @@ component (null if none of its documents has an id); repeated rows stay; further
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,7 +46,10 @@ FREQUENT = 24
 #: Classes of a family's block at least; large families have blocks of up to 16 times as many.
 BLOCK = 256
 _PARTS = 16
-_COLUMNS = 1 << 14
+#: Parts of a component's classes that are named apart.
+SALTS = 256
+#: Numbers of a matrix of sets by n-grams.
+_MATRIX = 1 << 24
 
 
 def sets(data: np.ndarray, starts: np.ndarray, n: int = N) -> list[np.ndarray]:
@@ -270,9 +274,11 @@ def _cell(threshold: int):
         block, v, n = (table[c].to_numpy() for c in ("block", "v", "n"))
         keys = [np.frombuffer(x.as_buffer(), np.uint64) for chunk in table["shared"].chunks for x in chunk]
         first, second = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
+        if not len(first) or not len(second):
+            return schema.empty_table()
         both = np.zeros((len(first), len(second)), np.float32)
         own = np.repeat(np.arange(len(v)), [len(k) for k in keys])
-        # each n-gram found twice is a column; columns are taken some at a time, so long texts need no more memory
+        # each n-gram found twice is a column; columns are taken some at a time, so neither long texts nor many take more memory
         distinct, column, many = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
         kept = many[column] > 1
         own, column = own[kept], (np.cumsum(many > 1) - 1)[column[kept]]
@@ -280,49 +286,76 @@ def _cell(threshold: int):
         own, column = own[order], column[order]
         place_a, place_b = np.full(len(v), -1), np.full(len(v), -1)
         place_a[first], place_b[second] = np.arange(len(first)), np.arange(len(second))
-        for start in range(0, int((many > 1).sum()), _COLUMNS):
-            part = slice(*np.searchsorted(column, [start, start + _COLUMNS]))
-            x, y = np.zeros((len(first), _COLUMNS), np.float32), np.zeros((len(second), _COLUMNS), np.float32)
+        step = max(256, _MATRIX // max(len(first), len(second)))
+        for start in range(0, int((many > 1).sum()), step):
+            part = slice(*np.searchsorted(column, [start, start + step]))
+            x, y = np.zeros((len(first), step), np.float32), np.zeros((len(second), step), np.float32)
             for matrix, place in ((x, place_a), (y, place_b)):
                 row = place[own[part]]
                 ok = row >= 0
                 matrix[row[ok], column[part][ok] - start] = 1
             both += x @ y.T
-        linked = np.zeros((len(v), len(v)), bool)
-        linked[np.ix_(first, second)] = 100 * both >= threshold * (n[first][:, None] + n[second][None] - both)
-        linked |= linked.T
-        np.fill_diagonal(linked, False)
-        links = linked.sum(1)
+        links, label = np.zeros(len(v), np.int64), np.arange(len(v))
+        # rows that link, some at a time
+        near = [np.flatnonzero(100 * both[i] >= threshold * (n[first[i]] + n[second] - both[i])) for i in range(len(first))]
+        near = [second[at] for at in near]
+        near = [at[at != i] for at, i in zip(near, first.tolist(), strict=True)]
+        for at, i in zip(near, first.tolist(), strict=True):
+            links[i] += len(at)
+            if lo != hi:
+                links[at] += 1
         # each class takes the smallest number that it reaches
-        label = np.arange(len(v))
-        while True:
-            new = np.minimum(label, np.where(linked, label[None], len(v)).min(1))
-            new = np.minimum(new, new[new])
-            if (new == label).all():
-                break
-            label = new
+        moved = True
+        while moved:
+            moved = False
+            for at, i in zip(near, first.tolist(), strict=True):
+                if len(at):
+                    least = min(label[i], label[at].min())
+                    if label[i] != least or (label[at] != least).any():
+                        label[i] = least
+                        label[at] = least
+                        moved = True
         at = np.flatnonzero(links)
         return pa.table([pa.array(v[label[at]]), pa.array(v[at]), pa.array(links[at])], schema=schema)
 
     return run
 
 
+def _bands(threshold: int):
+    """The band of a set's size: sets that may link are in one band or in two next to each other (length filter)."""
+    # a little wider than the threshold's ratio, so that rounding can't part two sets that link
+    return F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(100 / threshold * 1.0001))).cast("long") if threshold < 100 else F.col("n")
+
+
 def _family_links(post: DataFrame, classes: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
     """(v, family) of classes with a frequent prefix n-gram, and what links within families as rows of _cell.
 
-    A family is what frequent n-grams hold together. Its classes are cut into blocks by a hash, and every two blocks meet
-    in a task of their own, where all pairs are counted by matrix products; what goes out of a task is one row a class at most.
+    A family is what frequent n-grams hold together. Its classes are cut into bands of sizes, and these into blocks by a
+    hash; two blocks of one band, or of bands next to each other, meet in a task of their own, where pairs are counted by
+    matrix products; what goes out of a task is one row a class at most. Other bands can't link and never meet.
     """
     centre = post.groupBy("gram").agg(F.min("v").alias("c"))
     hubs = post.join(stage(centre, "jaccard-centres"), "gram").filter("v <> c").select(F.col("c").alias("a"), F.col("v").alias("b")).distinct()
     family = stage(components(hubs).withColumnRenamed("comp", "family"), "jaccard-families")
-    size = family.groupBy("family").agg(F.count("*").alias("m"))
+    banded = family.join(classes.select("v", "n"), "v").withColumn("band", _bands(threshold))
+    size = banded.groupBy("family", "band").agg(F.count("*").alias("m"))
     block = F.greatest(F.lit(BLOCK), F.least(F.lit(16 * BLOCK), F.ceil(F.col("m") / 32)))
-    blocks = stage(size.select("family", F.ceil(F.col("m") / block).cast("int").alias("blocks")), "jaccard-blocks")
-    own = family.join(blocks, "family").withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
-    sets = own.join(classes.select("v", "n", "shared"), "v")
-    spread = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = spread.select("family", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "v", "n", "shared")
+    blocks = stage(size.select("family", "band", F.ceil(F.col("m") / block).cast("int").alias("blocks")), "jaccard-blocks")
+    # what a block meets: its band's own blocks, all of the band above, all of the band below
+    up, down = (blocks.select("family", (F.col("band") + k).alias("band"), F.col("blocks").alias(name)) for k, name in ((-1, "above"), (1, "below")))
+    meets = blocks.join(up, ["family", "band"], "left").join(down, ["family", "band"], "left").na.fill(0, ["above", "below"])
+    name = lambda band, k: F.struct(band.alias("band"), k.cast("int").alias("block"))
+    number = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    own = banded.join(stage(meets, "jaccard-meets"), ["family", "band"]).withColumn("block", name(F.col("band"), F.pmod(F.xxhash64("v"), F.col("blocks"))))
+    other = F.concat(
+        F.transform(number(F.col("blocks")), lambda k: name(F.col("band"), k)),
+        F.transform(number(F.col("above")), lambda k: name(F.col("band") + 1, k)),
+        F.transform(number(F.col("below")), lambda k: name(F.col("band") - 1, k)),
+    )
+    spread = own.withColumn("other", F.explode(other)).join(classes.select("v", "shared"), "v")
+    text = lambda x: F.concat_ws(":", F.col(f"{x}.band").cast("string"), F.col(f"{x}.block").cast("string"))
+    cells = spread.select("family", text("block").alias("block"), text("other").alias("other"), "v", "n", "shared")
+    cells = cells.select("family", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "v", "n", "shared")
     return family, cells.groupBy("family", "lo", "hi").applyInArrow(_cell(threshold), "a long, b long, n long")
 
 
@@ -366,10 +399,12 @@ def join_documents(docs: DataFrame, n: int = N, threshold: int = THRESHOLD) -> D
     with scratch(docs.sparkSession):
         rows, classes, edges, counts = similar_classes(docs, n, threshold)
         comps = components(edges).join(counts, "v")
-        named = rows.filter("sign is not null").groupBy("sign").agg(F.min("doc_id").alias("class_id"))
-        linked = named.join(classes.select("sign", "v"), "sign").join(comps, "v")
-        smallest = linked.groupBy("comp").agg(F.min("class_id").alias("component_id"))
-        of = linked.join(smallest, "comp").select("sign", "component_id", "n_links")
+        named = stage(rows.filter("sign is not null").groupBy("sign").agg(F.min("doc_id").alias("class_id")), "jaccard-named")
+        linked = stage(named.join(classes.select("sign", "v"), "sign").join(comps, "v").withColumn("part", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")), "jaccard-linked")
+        # a component may hold most classes: its smallest id is found, and handed back, in SALTS parts
+        some = linked.groupBy("comp", "part").agg(F.min("class_id").alias("least"))
+        smallest = some.groupBy("comp").agg(F.min("least").alias("component_id"), F.collect_set("part").alias("part")).withColumn("part", F.explode("part"))
+        of = linked.join(smallest, ["comp", "part"]).select("sign", "component_id", "n_links")
         # a plain table, so that the join with a hot set's many documents can be split
         out = rows.join(stage(named.join(of, "sign", "left"), "jaccard-names"), "sign", "left")
         alone = F.col("sign").isNull()
