@@ -8,10 +8,12 @@ are repeated is decided on the input; matches never cross documents.
    anchors' hashes, once each, to the group of their low bits, which returns those that several documents have. Only
    strings with such an anchor can be repeated.
 2. The suffixes that hold these strings (the bytes around an anchor, each distinct one once a chunk) are dealt out by
-   ranges of the anchor's leading bytes. The ranges' splitters are quantiles of a sample of all chunks' anchors.
+   ranges of the anchor's leading bytes. The ranges' splitters are quantiles of a sample of all chunks' anchors: of the
+   first six bytes, and where many anchors of the sample begin with the same six, of the next six of these, and so on
+   over an anchor.
 3. Each bucket sorts its suffixes by multikey quicksort, eight bytes a step: equal ones stay together and only they go on
    to the next step. What is equal after LENGTH bytes is one string, and its smallest document is sent back to the chunks
-   that have it from a later one. Splitters fall between leading bytes, never between equal ones, so no run of equal
+   that have it from a later one. Splitters fall between different anchors, never between equal ones, so no run of equal
    suffixes crosses the border of two buckets; bucket() is the comparison that guarantees it.
 4. Each chunk marks the covered bytes of its documents.
 
@@ -19,19 +21,22 @@ Copies of a whole text are found by its digest first and go as a whole (if LENGT
 suffixes are sorted. A passage that very many documents have is sent once by each chunk, so it can't fill a bucket.
 
 Defined results: a null text is an empty one, with nothing removed; rows without doc_id neither lose nor take anything;
-rows that share a doc_id take nothing from each other; an empty table gives an empty table; further columns stay.
+rows that share a doc_id take nothing from each other (a copy is a row: of two rows with one doc_id only the one whose
+text an earlier document has goes as a whole); an empty table gives an empty table; further columns stay, but one that is
+named like a result gives way to it.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
@@ -45,9 +50,12 @@ _SPAN = LENGTH - K + 1
 #: Bytes of input for each bucket of the table, with CHUNKS chunks; and for each group of anchors and bucket of suffixes.
 TABLE_BUCKET = 4 << 20
 CHUNKS = 2
-GROUP = 3 << 20
-#: Anchors that a chunk gives to the sample for splitters.
+GROUP = 8 << 20
+#: Anchors that a chunk gives to the sample for splitters, and ranges that a frequent beginning is cut into.
 SAMPLE = 32
+INNER = 32
+#: Bytes that splitters are found by at a time: as many as a double, which quantiles are kept as, holds exactly.
+_STEP = 6
 _PIECE = 1 << 18
 _NOTE = "chunk int, kind int, grp int, a binary, b binary, c binary, value long"
 _KINDS = pa.schema([("chunk", pa.int32()), ("kind", pa.int32()), ("grp", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("value", pa.int64())])
@@ -115,7 +123,14 @@ class _Chunk:
         ids = self.docs["doc_id"]
         self.null = np.asarray(pc.is_null(ids))
         self.ids = pc.fill_null(ids, 0).to_numpy()
-        self.copy = np.asarray(pc.fill_null(pc.is_in(ids, value_set=self._of(_COPY)["value"].combine_chunks()), False)) & ~self.null
+        copies = self._of(_COPY)
+        self.copy = np.asarray(pc.fill_null(pc.is_in(ids, value_set=copies["value"].combine_chunks()), False)) & ~self.null
+        if self.copy.any():
+            # rows that share a doc_id with a copy are told apart by their text
+            named = set(zip(copies["value"].to_pylist(), copies["a"].to_pylist(), strict=True))
+            for i in np.flatnonzero(self.copy):
+                text = self.data[self.starts[i] : self.starts[i + 1]]
+                self.copy[i] = (int(self.ids[i]), hashlib.sha256(text.tobytes()).digest()) in named
         s = suffixes(self.data, self.starts)
         use = ~(self.copy | self.null)[s["text"]] if len(s["text"]) else np.zeros(0, bool)
         self.s = {k: v[use] for k, v in s.items()}
@@ -185,8 +200,8 @@ def _send_anchors(groups: int):
                 rest = keys[part] >> np.uint64(16)
                 rows.append(_row(chunk, _ANCHOR, int(g), rest.astype(np.uint32).tobytes(), (rest >> np.uint64(32)).astype(np.uint16).tobytes(), np.packbits(several[part]).tobytes() + (keys[part] & np.uint64(0xFFFF)).astype(np.uint16).tobytes()))
             few = np.argsort(own.s["key"], kind="stable")[:SAMPLE]
-            for v in _leading(own.data, own.s["anchor"][few]).tolist():
-                rows.append(_row(chunk, _SAMPLE, chunk % groups, value=v - (1 << 63)))
+            for at in own.s["anchor"][few].tolist():
+                rows.append(_row(chunk, _SAMPLE, chunk % groups, own.data[at : at + K].tobytes()))
         return _table(rows)
 
     return run
@@ -224,12 +239,51 @@ def _several(table: pa.Table) -> pa.Table:
 
 
 def bucket(leading: np.ndarray, splitters: np.ndarray) -> np.ndarray:
-    """The bucket of each suffix; equal leading bytes are never on both sides of a splitter."""
+    """The bucket of each suffix by its anchor; equal anchors are never on both sides of a splitter."""
     return np.searchsorted(splitters, leading, "right")
 
 
-def _send_suffixes(splitters: list[int]):
-    cuts = np.array(sorted({v + (1 << 63) for v in splitters}), np.uint64)
+def _anchor_bytes(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The K bytes of each anchor as strings that numpy compares byte by byte."""
+    out = np.empty((len(at), K), np.uint8)
+    for k in range(K):
+        out[:, k] = data[at + k]
+    return out.view(f"S{K}").ravel()
+
+
+def _splitters(samples: DataFrame, many: int) -> list[bytes]:
+    """Sorted prefixes (of one or more times _STEP bytes) that cut the sampled anchors (column a) into ranges.
+
+    Of those that begin alike in two or more of many quantiles, the next bytes are cut in turn, into INNER ranges.
+    """
+
+    def word(k: int) -> Column:
+        return F.conv(F.hex(F.substring("a", _STEP * k + 1, _STEP)), 16, 10).cast("long")
+
+    def name(v: int) -> bytes:
+        return int(v).to_bytes(_STEP, "big")
+
+    cuts = [k / many for k in range(1, many)]
+    first = (samples.agg(F.percentile_approx(word(0), cuts, 100_000).alias("q")).collect()[0].q or []) if cuts else []
+    out = {name(v) for v in first}
+    hot = {name(v) for v, n in Counter(first).items() if n > 1}
+    for k in range(1, K // _STEP):
+        if not hot:
+            break
+        head = F.substring("a", 1, _STEP * k)
+        some = samples.join(F.broadcast(samples.sparkSession.createDataFrame([(bytearray(h),) for h in sorted(hot)], "head binary")), F.col("head") == head)
+        inner = [j / INNER for j in range(1, INNER)]
+        rows = some.groupBy("head").agg(F.percentile_approx(word(k), inner, 10_000).alias("q")).collect()
+        hot = set()
+        for r in rows:
+            found = Counter(r.q)
+            out |= {bytes(r.head) + name(v) for v in found}
+            hot |= {bytes(r.head) + name(v) for v, n in found.items() if n > 1}
+    return sorted(out)
+
+
+def _send_suffixes(splitters: list[bytes]):
+    cuts = np.array(splitters, f"S{K}")
 
     def run(docs: pa.Table, notes: pa.Table) -> pa.Table:
         chunk, rows = _chunk_of(docs), []
@@ -238,7 +292,7 @@ def _send_suffixes(splitters: list[int]):
             own.repeated()
             one = own.one
             first, last, anchor = (own.s[k][one] for k in ("first", "last", "anchor"))
-            to = bucket(_leading(own.data, anchor), cuts)
+            to = bucket(_anchor_bytes(own.data, anchor), cuts)
             order = np.argsort(to, kind="stable")
             edges = np.searchsorted(to[order], np.arange(len(cuts) + 2))
             pack = zstandard.ZstdCompressor(1)
@@ -361,8 +415,12 @@ def remove_repeats(docs: DataFrame, texts: bool = False) -> DataFrame:
     digest, which is of the remaining bytes). The result is a written table; what was written on the way is deleted.
     """
     with scratch(docs.sparkSession):
-        own = [c for c in docs.columns if c not in ("chunk", "n_bytes", "n_removed", "n_spans", "kept_sha256")]
-        table = bucketed(docs.select(*own).withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")}), TABLE_BUCKET, CHUNKS)
+        results = {"n_bytes", "n_removed", "n_spans", "kept_sha256"}
+        names = [c for c in docs.columns if c.lower() not in results]
+        # columns by place, so that none has a name that is used on the way
+        own = [c if c in ("doc_id", "text") else f"own_{k}" for k, c in enumerate(names)]
+        kinds = {"doc_id": "long", "text": "string"}
+        table = bucketed(docs.select(*[(F.col(f"`{c}`").cast(kinds[c]) if c in kinds else F.col(f"`{c}`")).alias(o) for c, o in zip(names, own, strict=True)]), TABLE_BUCKET, CHUNKS)
         spark = docs.sparkSession
         groups = parts(table, GROUP)
         digests = table.filter("doc_id is not null and text is not null").select("chunk", "doc_id", F.sha2("text", 256).alias("digest"))
@@ -370,7 +428,7 @@ def remove_repeats(docs: DataFrame, texts: bool = False) -> DataFrame:
         # a plain table, so that the join with a text of very many copies can be split
         copies = digests.join(stage(firsts.select("digest", "first"), "suffix-firsts"), "digest").filter("doc_id > first")
         empty = F.lit(None).cast("binary")
-        notes = stage(copies.select("chunk", F.lit(_COPY).alias("kind"), F.lit(0).alias("grp"), empty.alias("a"), empty.alias("b"), empty.alias("c"), F.col("doc_id").alias("value")), "suffix-notes")
+        notes = stage(copies.select("chunk", F.lit(_COPY).alias("kind"), F.lit(0).alias("grp"), F.unhex("digest").alias("a"), empty.alias("b"), empty.alias("c"), F.col("doc_id").alias("value")), "suffix-notes")
 
         def meet(f, columns: DataFrame, kind: str) -> DataFrame:
             return columns.groupBy("chunk").cogroup(notes.groupBy("chunk")).applyInArrow(f, kind)
@@ -378,12 +436,13 @@ def remove_repeats(docs: DataFrame, texts: bool = False) -> DataFrame:
         slim = table.select("chunk", "doc_id", "text")
         anchors = meet(_send_anchors(groups), slim, _NOTE).groupBy("grp").applyInArrow(_several, _NOTE)
         anchors = stage(anchors, "suffix-anchors")
-        cuts = [k / groups for k in range(1, groups)]
-        splitters = anchors.filter(F.col("kind") == _SAMPLE).agg(F.percentile_approx("value", cuts, 100_000).alias("q")).collect()[0].q or []
+        splitters = _splitters(anchors.filter(F.col("kind") == _SAMPLE).select("a"), groups)
         notes = notes.union(anchors.filter(F.col("kind") == _ANCHOR))
         repeats = meet(_send_suffixes(splitters), slim, _NOTE).groupBy("grp").applyInArrow(_sort, _NOTE)
         notes = notes.union(stage(repeats, "suffix-repeats"))
         kinds = {f.name: f.dataType.simpleString() for f in table.schema}
         result = {c: kinds[c] for c in own if c != "text"} | {"n_bytes": "bigint", "n_removed": "bigint", "n_spans": "bigint", "kept_sha256": "string"} | ({"text": "string"} if texts else {})
         ddl = ", ".join(f"`{c}` {k}" for c, k in result.items())
-        return stage(meet(_mark(texts, to_arrow_schema(_parse_datatype_string(ddl))), table, ddl), "suffix-left", keep=True)
+        left = meet(_mark(texts, to_arrow_schema(_parse_datatype_string(ddl))), table, ddl)
+        back = [F.col(o).alias(c) for c, o in zip(names, own, strict=True) if texts or c != "text"]
+        return stage(left.select(*back, *[F.col(c) for c in result if c not in own]), "suffix-left", keep=True)
