@@ -41,6 +41,24 @@ def test_suffix_dedup_odd_tables(odd, empty):
     assert suffix_dedup.remove_repeats(empty).count() == 0
 
 
+def test_suffix_dedup_of_rows_that_share_an_id(spark):
+    copied, own = "the same words in both of these rows, more than fifty bytes of them", "another text of the same number, which nothing else has in it at all, long enough"
+    table = spark.createDataFrame([(1, copied, 3, 4), (2, copied, 5, 6), (2, own, 7, 8)], "doc_id long, text string, chunk int, N_Bytes int")
+    got = suffix_dedup.remove_repeats(table, texts=True)
+    assert got.columns == ["doc_id", "text", "chunk", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    assert sorted((r.doc_id, r.text, r.chunk, r.n_removed) for r in got.collect()) == sorted([(1, copied, 3, 0), (2, "", 5, len(copied)), (2, own, 7, 0)])
+
+
+def test_frequent_beginnings_are_split(spark):
+    rng = np.random.default_rng(3)
+    common = [b"https://www.site" + bytes(rng.integers(97, 123, 16).astype(np.uint8)) for _ in range(3000)]
+    other = [bytes(rng.integers(0, 256, 32).astype(np.uint8)) for _ in range(1000)]
+    cuts = suffix_dedup._splitters(spark.createDataFrame([(bytearray(a),) for a in common + other], "a binary"), 16)
+    at = suffix_dedup.bucket(np.array(common + other, "S32"), np.array(cuts, "S32"))
+    assert np.bincount(at).max() < 400 and cuts == sorted(cuts)
+    assert suffix_dedup._splitters(spark.createDataFrame([], "a binary"), 16) == []
+
+
 def test_multikey_quicksort_groups_equal_strings():
     rng = np.random.default_rng(2)
     words = [rng.integers(0, 2, 500).astype(np.uint64) for _ in range(7)]
@@ -171,6 +189,49 @@ def test_language_model(nasty, odd, empty):
     assert pitman_yor.score_documents(empty).count() == 0
 
 
+def test_language_model_scores_are_a_plain_models(nasty):
+    """The same model with dictionaries, one document after the other."""
+    docs = [(i, brute.words(t)) for i, t in pairs(nasty)]
+    d, one = pitman_yor.DISCOUNT, pitman_yor.STRENGTH
+    count, pair, triple, contexts = Counter(), Counter(), Counter(), Counter()
+    for i, w in docs:
+        if not brute.held(i, 7, 2):
+            count.update(w)
+            pair.update(zip([None, *w], w))
+            triple.update(zip([(), *zip([None, *w], w)], zip([None, *w], w)))
+            contexts.update([(), *zip([None, *w], w)][:-1])
+    n, v = sum(count.values()), len(count)
+    seats = lambda c, m: float(pitman_yor.seat(np.array([c]), pitman_yor._rounded(np.array([m])), d)[0])
+    above3 = lambda c: contexts[c]
+    t3 = {k: seats(c, (one + d * above3(k[0]) ** 0.75) * min(max(pair[k[1]], 1) / max(count[k[1][0]], 1), 1)) for k, c in triple.items()}
+    c2, big3, c1, big2, in2 = Counter(), Counter(), Counter(), Counter(), Counter()
+    for (u, p), t in t3.items():
+        c2[p] += t
+        big3[u] += t
+    c2 = {p: max(round(t), 1) for p, t in c2.items()}
+    t2 = {p: seats(c, (one + d * count[p[0]] ** 0.75) * max(count[p[1]], 1) / n) for p, c in c2.items()}
+    for (u, w), t in t2.items():
+        c1[w] += t
+        big2[u] += t
+        in2[u] += c2[u, w]
+    c1 = {w: max(round(t), 1) for w, t in c1.items()}
+    root = {w: float(pitman_yor.seat(np.array([c]), np.array([(1 + d * v) / (v + 1)]), d)[0]) for w, c in c1.items()}
+
+    def prob(u, p):
+        a = (c1.get(p[1], 0) - d * root.get(p[1], 0) + (1 + d * sum(root.values())) / (v + 1)) / (1 + sum(c1.values()))
+        b = (c2.get(p, 0) - d * t2.get(p, 0) + (one + d * big2[p[0]]) * a) / (one + in2[p[0]])
+        return (triple[u, p] - d * t3.get((u, p), 0) + (one + d * big3[u]) * b) / (one + above3(u))
+
+    want = {i: sum(math.log10(prob(u, p)) for u, p in zip([(), *zip([None, *w], w)], zip([None, *w], w))) for i, w in docs}
+    got = {r.doc_id: r.score for r in pitman_yor.score_documents(nasty).collect()}
+    assert got.keys() == want.keys()
+    for i in got:
+        assert got[i] == pytest.approx(want[i], rel=2e-3, abs=0.02)
+    # a context's probabilities sum to one at most
+    for u, p in list(triple)[:5]:
+        assert sum(prob(u, (p[0], w)) for w in count) <= 1 + 1e-9
+
+
 def test_seating():
     rng = np.random.default_rng(1)
     c = np.array([0, 1, 2, 50, 50, 10_000])
