@@ -22,6 +22,7 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -66,8 +67,9 @@ class CachedTokenizer:
             else:
                 plain.append(w)
         plain += {x for w in joined for x in (w[:-1], w[-1]) if x not in cache}.difference(plain)
+        code = "I" if self.wide else "H"
         for w, got in zip(plain, self.library.encode_batch_fast(plain, add_special_tokens=False), strict=True):
-            cache[w] = np.array(got.ids, self.type).tobytes()
+            cache[w] = array(code, got.ids).tobytes()
         for w in joined:
             cache[w] = cache[w[:-1]] + cache[w[-1]]
 
@@ -79,16 +81,18 @@ class CachedTokenizer:
         return self._plain(text)
 
     def _plain(self, text: str) -> bytes:
-        words = _WORDS.findall(text)
+        words, out = _WORDS.findall(text), []
+        for at in range(0, len(words), 50_000):
+            some = words[at : at + 50_000]
+            self.learn(list(set(some).difference(self.cache)))
+            out.append(self._joined(some))
+        return b"".join(out)
+
+    def _joined(self, words: list[str]) -> bytes:
         try:
             return b"".join(map(self.cache.__getitem__, words))
-        except KeyError:
-            out = []
-            for at in range(0, len(words), 50_000):
-                some = words[at : at + 50_000]
-                self.learn(list({w for w in some if w not in self.cache}))
-                out += [self.cache[w] if w in self.cache else self._alone(w) for w in some]
-            return b"".join(out)
+        except KeyError:  # learning others has pushed some of them out
+            return b"".join(self.cache[w] if w in self.cache else self._alone(w) for w in words)
 
     def _alone(self, word: str) -> bytes:
         return np.array(self.library.encode(word, add_special_tokens=False).ids, self.type).tobytes()
