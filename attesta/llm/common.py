@@ -69,18 +69,27 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def stage(df: DataFrame, name: str, codec: str = "zstd", keep: bool = False) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: cuts the lineage and survives lost executors.
+@contextmanager
+def _freeing(spark: SparkSession) -> Iterator[None]:
+    """What is written inside has its shuffle files removed as soon as it is done, as nothing reads them again."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
-    The JVM is then asked to let go of the writing query's shuffle files, since nothing reads them again.
-    """
+
+def stage(df: DataFrame, name: str, codec: str = "zstd", keep: bool = False) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     if _SCRATCH.open and not keep:
         _SCRATCH.open[-1].append(path)
     schema = df.schema
-    df.write.option("compression", codec).parquet(path)
-    spark.sparkContext._jvm.System.gc()
+    with _freeing(spark):
+        df.write.option("compression", codec).parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
@@ -90,7 +99,7 @@ def bucketed(docs: DataFrame, bucket_bytes: int, chunks: int) -> DataFrame:
     Every later pass over a chunk's documents, also with what other tables have of the chunk, needs no shuffle of texts.
     """
     spark, docs = docs.sparkSession, sized(docs)
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), input_bytes(docs) // bucket_bytes + 1)
+    buckets = input_bytes(docs) // bucket_bytes + 1
     spread = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))
     rows = docs.withColumn("chunk", F.pmod(spread, F.lit(chunks * buckets)).cast("int"))
     name = f"attesta_{uuid.uuid4().hex}"
@@ -98,10 +107,10 @@ def bucketed(docs: DataFrame, bucket_bytes: int, chunks: int) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}"
     if _SCRATCH.open:
         _SCRATCH.open[-1].append(path)
-    writer.option("path", path).saveAsTable(name)
+    with _freeing(spark):
+        writer.option("path", path).saveAsTable(name)
     table = spark.table(name)
     spark.sql(f"DROP TABLE {name}")  # its files stay, as it is external
-    spark.sparkContext._jvm.System.gc()
     return table
 
 
@@ -125,12 +134,12 @@ def _leaves(df: DataFrame) -> list:
 
 
 def parts(df: DataFrame, target: int) -> int:
-    """Groups to deal packets out to: of about target input bytes, and one for each shuffle partition at least.
+    """Groups to deal packets out to: of about target input bytes.
 
-    Each chunk sends each group one packet, so more groups than tasks would only make packets smaller.
+    Each chunk sends each group one packet, so the number goes by the input's size alone: with one for each of many shuffle
+    partitions a small input would become very many tiny packets.
     """
-    conf = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(conf, input_bytes(df) // target + 1)
+    return input_bytes(df) // target + 1
 
 
 def group_of(keys: np.ndarray, groups: int) -> np.ndarray:
