@@ -30,7 +30,7 @@ from __future__ import annotations
 
 import hashlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -50,7 +50,7 @@ _SPAN = LENGTH - K + 1
 #: Bytes of input for each bucket of the table, with CHUNKS chunks; and for each group of anchors and bucket of suffixes.
 TABLE_BUCKET = 4 << 20
 CHUNKS = 2
-GROUP = 8 << 20
+GROUP = 4 << 20
 #: Anchors that a chunk gives to the sample for splitters, and ranges that a frequent beginning is cut into.
 SAMPLE = 32
 INNER = 32
@@ -306,15 +306,23 @@ def _send_suffixes(splitters: list[bytes]):
     return run
 
 
-def equal_strings(words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Multikey quicksort by one word of all strings after the other: places of strings that have an equal, and their runs."""
-    at, run = np.arange(len(words[0])), np.zeros(len(words[0]), np.int64)
-    for word in words:
-        w = word[at]
-        order = np.lexsort((w, run)) if run.any() else np.argsort(w)
-        at, run, w = at[order], run[order], w[order]
+def equal_strings(n: int, steps: int, word: Callable[[int, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Multikey quicksort of n strings by one word after the other: places of strings that have an equal, and their runs.
+
+    word(k, at) are the k-th words of the strings at some places; only those that are equal so far are asked for.
+    """
+    at, run = np.arange(n), np.zeros(n, np.int64)
+    for k in range(steps):
+        w = word(k, at)
+        order = np.argsort(w)
+        rank = np.empty(len(at), np.int64)
+        rank[order] = np.cumsum(np.append(False, w[order[1:]] != w[order[:-1]]))[: len(at)]
+        # by run, then by rank: two sorts of plain numbers are quicker than one of pairs
+        key = run << 32 | rank
+        order = np.argsort(key) if run.any() else order
+        at, key = at[order], key[order]
         new = np.ones(len(at), bool)
-        new[1:] = (run[1:] != run[:-1]) | (w[1:] != w[:-1])
+        new[1:] = key[1:] != key[:-1]
         run = np.cumsum(new) - 1
         keep = np.bincount(run)[run] > 1 if len(run) else np.zeros(0, bool)
         at, run = at[keep], run[keep]
@@ -337,7 +345,8 @@ def _sort(table: pa.Table) -> pa.Table:
     place = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)
     start = begin[owner] + place
     eight = _leading(np.concatenate([data, np.zeros(8, np.uint8)]), np.arange(len(data)))
-    at, run = equal_strings([eight[start + k] for k in (*range(0, LENGTH - 8, 8), LENGTH - 8)])
+    steps = (*range(0, LENGTH - 8, 8), LENGTH - 8)
+    at, run = equal_strings(len(start), len(steps), lambda k, at: eight[start[at] + steps[k]])
     rows = []
     if len(at):
         first = np.flatnonzero(np.append(True, run[1:] != run[:-1]))

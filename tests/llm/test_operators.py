@@ -62,7 +62,7 @@ def test_frequent_beginnings_are_split(spark):
 def test_multikey_quicksort_groups_equal_strings():
     rng = np.random.default_rng(2)
     words = [rng.integers(0, 2, 500).astype(np.uint64) for _ in range(7)]
-    at, run = suffix_dedup.equal_strings(words)
+    at, run = suffix_dedup.equal_strings(500, 7, lambda k, at: words[k][at])
     strings = list(zip(*words, strict=True))
     many = Counter(strings)
     assert sorted(at) == [i for i, s in enumerate(strings) if many[s] > 1]
