@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,17 +43,21 @@ def deltas(evidence: DataFrame) -> DataFrame:
     return out.withColumn("id", ids.triple_id())
 
 
+_PERIOD = ["rating", "rd", "volatility", "witness_count", "phi", "games", "sum_score"]
+
+
+def _rate(rows: pd.DataFrame) -> np.ndarray:
+    """The state after each row's period, as four columns; each distinct combination of state and period is rated once."""
+    number, distinct = pd.factorize(pd.MultiIndex.from_frame(rows[_PERIOD]))
+    rated = [uniform_period(Rating(*map(int, r[:4])), int(r[4]), int(r[5]), int(r[6])) for r in distinct]
+    return np.array(rated, np.int64).reshape(-1, 4)[number]
+
+
 def _uniform(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Each distinct combination of prior and period is rated once for the whole batch."""
-    names = ["rating", "rd", "volatility", "witness_count", "phi", "games", "sum_score"]
     for rows in batches:
-        distinct = rows[names].drop_duplicates()
-        rated = [uniform_period(Rating(int(r.rating), int(r.rd), int(r.volatility), int(r.witness_count)), int(r.phi), int(r.games), int(r.sum_score)) for r in distinct.itertuples(index=False)]
-        for k, name in enumerate(("rating", "rd", "volatility", "games")):
-            distinct[f"new_{name}"] = [r[k] for r in rated]
-        both = rows.merge(distinct, on=names, how="left")
-        both[names[:4]] = both[["new_rating", "new_rd", "new_volatility", "new_games"]].to_numpy()
-        yield both[["id", "subject_id", "type_id", "object_id", *names[:4], "last_observed_at"]]
+        if len(rows):
+            rows[_PERIOD[:4]] = _rate(rows)
+        yield rows[_NAMES]
 
 
 _RATED = "id binary, subject_id binary, type_id binary, object_id binary, rating long, rd long, volatility long, witness_count long, last_observed_at timestamp"
@@ -86,6 +91,17 @@ def fold(evidence: DataFrame) -> DataFrame:
     return _ordered(deltas(evidence), "phi")
 
 
+def fold_onto(consensus: DataFrame, changes: DataFrame) -> DataFrame:
+    """The consensus after one batch of deltas, each cell's periods by their deviation, the smallest first; in one pass.
+
+    Deltas of a cell follow each other in the order that fold() has them, starting from the cell's prior state.
+    """
+    prior = consensus.select("id", F.struct("rating", "rd", "volatility", "witness_count").alias("prior"), F.col("last_observed_at").alias("prior_at"))
+    joined = changes.join(prior, "id", "left")
+    untouched = consensus.join(changes.select("id").distinct(), "id", "left_anti")
+    return untouched.unionByName(_ordered(joined, "phi"))
+
+
 def scoped_consensus(evidence: DataFrame, sources: DataFrame | None = None) -> DataFrame:
     """The fold of the evidence of some sources (source_id), each row a period of its own, in the order of time and id."""
     own = evidence.join(sources.select("source_id").distinct(), "source_id", "left_semi") if sources is not None else evidence
@@ -96,25 +112,43 @@ def scoped_consensus(evidence: DataFrame, sources: DataFrame | None = None) -> D
 def _ordered(rows: DataFrame, *order: str) -> DataFrame:
     """Fold each triple's periods in order. Periods are sorted beside each other, never gathered into one group's memory."""
     columns = ["id", "subject_id", "type_id", "object_id", "phi", "games", "sum_score", "last_observed_at"]
+    if "prior" in rows.columns:
+        rows = rows.withColumns({f"was_{c}": F.col("prior")[c] for c in _PERIOD[:4]}).withColumn("last_observed_at", F.greatest("last_observed_at", "prior_at"))
+    else:
+        rows = rows.withColumns({f"was_{c}": F.lit(None).cast("long") for c in _PERIOD[:4]})
+    columns += [f"was_{c}" for c in _PERIOD[:4]]
     dealt = rows.repartition("id").sortWithinPartitions("id", *order).select(*columns)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last: tuple | None = None
-        state = Rating()
-        at = None
+        open_: pd.DataFrame | None = None  # the last cell so far, which the next batch may go on with
         for batch in batches:
-            out = []
-            for r in batch.itertuples(index=False):
-                if last is not None and bytes(r.id) != last[0]:
-                    out.append((*last, *state, at))
-                    state, at = Rating(), None
-                last = (bytes(r.id), bytes(r.subject_id), bytes(r.type_id), None if r.object_id is None else bytes(r.object_id))
-                state = uniform_period(state, int(r.phi), int(r.games), int(r.sum_score))
-                at = r.last_observed_at if at is None or r.last_observed_at > at else at
-            if out:
-                yield pd.DataFrame(out, columns=_NAMES)
-        if last is not None:
-            yield pd.DataFrame([(*last, *state, at)], columns=_NAMES)
+            if not len(batch):
+                continue
+            new = (batch["id"] != batch["id"].shift()).to_numpy()
+            cell = np.cumsum(new) - 1
+            first = np.flatnonzero(new)
+            cells = batch.iloc[first][columns[:4]].reset_index(drop=True)
+            state = np.stack([batch[f"was_{c}"].iloc[first].fillna(start).to_numpy().astype(np.int64) for c, start in zip(_PERIOD[:4], Rating(), strict=True)], 1)
+            at = batch.groupby(cell)["last_observed_at"].max()
+            if open_ is not None:
+                if open_["id"].iloc[0] == cells["id"].iloc[0]:
+                    state[0] = open_[_PERIOD[:4]].to_numpy()[0]
+                    at.iloc[0] = max(at.iloc[0], open_["last_observed_at"].iloc[0])
+                else:
+                    yield open_
+            # all cells' first periods, then all second ones, and so on
+            turn = np.arange(len(batch)) - first[cell]
+            by_turn = np.argsort(turn, kind="stable")
+            for rows in np.split(by_turn, np.flatnonzero(np.diff(turn[by_turn])) + 1):
+                period = batch.iloc[rows][_PERIOD[4:]].reset_index(drop=True)
+                period[_PERIOD[:4]] = state[cell[rows]]
+                state[cell[rows]] = _rate(period)
+            cells[_PERIOD[:4]] = state
+            cells["last_observed_at"] = at.to_numpy()
+            open_ = cells.iloc[-1:][_NAMES]
+            yield cells.iloc[:-1][_NAMES]
+        if open_ is not None:
+            yield open_
 
     return dealt.mapInPandas(run, _RATED)
 

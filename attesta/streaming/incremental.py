@@ -15,43 +15,79 @@ from ..operators import fold
 STATE = "id binary, subject_id binary, type_id binary, object_id binary, rating long, rd long, volatility long, witness_count long, last_observed_at timestamp"
 
 
-def fold_stream(assertions: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+#: Parts that a stream's consensus is kept in by a hash of the cell's id; only those that a batch touches are written.
+PARTS = 64
+
+
+def fold_stream(assertions: DataFrame, path: str, checkpoint: str, trigger: dict | None = None, parts: int = PARTS) -> StreamingQuery:
     """Fold each micro-batch of assertions (see fold.observe) onto the consensus under path.
 
-    Version n of the consensus is what batch n left: a batch that is run again after a failure reads version n - 1 and
-    writes version n over, so nothing is folded twice. Read the newest with current().
+    The consensus is dealt into parts. Batch n writes the parts that it touches as path/data/batch=n/part=p and then, in one
+    file, path/heads/batch=n: which batch each part is from. A batch that is run again after a failure starts from the heads
+    of the batch before and writes its own over, so nothing is folded twice; what a failed batch leaves is never read. Heads
+    and parts that no head names any more can be removed with vacuum(). Read the newest state with current().
     """
 
     def batch(rows: DataFrame, number: int) -> None:
         spark = rows.sparkSession
-        prior = _version(spark, path, number - 1)
-        changes = fold.deltas(fold.observe(rows))
-        # one period for each deviation, the smallest first, as the batch fold has it
-        for i, phi in enumerate(sorted(r.phi for r in changes.select("phi").distinct().collect())):
-            prior = fold.upsert(prior, changes.filter(F.col("phi") == phi))
-            if i % 4 == 3:
-                prior = _written(prior, f"{path}/work/{number}-{i}")
-        if prior is None:
-            prior = spark.createDataFrame([], STATE)
-        prior.write.mode("overwrite").parquet(f"{path}/version={number}")
+        heads = _heads(spark, path, number - 1)
+        changes = fold.deltas(fold.observe(rows)).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
+        work = f"{checkpoint}/attesta-work/{number}"
+        changes.write.mode("overwrite").parquet(work)
+        changes = spark.read.schema(changes.schema).parquet(work)
+        # at most one row for each part
+        touched = [r.part for r in changes.select("part").distinct().collect()]
+        if touched:
+            prior = _parts(spark, path, {p: b for p, b in heads.items() if p in touched})
+            folded = fold.fold_onto(prior, changes.drop("part")).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
+            folded.repartition(len(touched), "part").write.mode("overwrite").partitionBy("part").parquet(f"{path}/data/batch={number}")
+        rows_ = [(p, b) for p, b in (heads | dict.fromkeys(touched, number)).items()]
+        spark.createDataFrame(rows_, "part int, batch long").coalesce(1).write.mode("overwrite").parquet(f"{path}/heads/batch={number}")
 
     return assertions.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
-def _written(df: DataFrame, path: str) -> DataFrame:
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(STATE).parquet(path)
+def _heads(spark: SparkSession, path: str, number: int) -> dict[int, int]:
+    """Which batch each part is from, after a batch; at most one row for each part."""
+    if number < 0:
+        return {}
+    return {r.part: r.batch for r in spark.read.schema("part int, batch long").parquet(f"{path}/heads/batch={number}").collect()}
+
+
+def _parts(spark: SparkSession, path: str, heads: dict[int, int]) -> DataFrame:
+    if not heads:
+        return spark.createDataFrame([], STATE)
+    return spark.read.schema(STATE).parquet(*[f"{path}/data/batch={b}/part={p}" for p, b in sorted(heads.items())])
 
 
-def _version(spark: SparkSession, path: str, number: int) -> DataFrame | None:
-    return spark.read.schema(STATE).parquet(f"{path}/version={number}") if number >= 0 else None
+def _newest(spark: SparkSession, path: str) -> int:
+    """The last batch whose heads are whole."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/heads")
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return -1
+    done = [f.getPath() for f in fs.listStatus(root)]
+    return max((int(p.getName().split("=")[1]) for p in done if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))), default=-1)
 
 
 def current(spark: SparkSession, path: str) -> DataFrame:
-    """The newest version of the consensus."""
-    every = spark.read.schema(f"{STATE}, version int").parquet(path)
-    newest = every.agg(F.max("version")).first()[0]
-    return every.filter(F.col("version") == newest).drop("version")
+    """The newest state of the consensus."""
+    return _parts(spark, path, _heads(spark, path, _newest(spark, path)))
+
+
+def vacuum(spark: SparkSession, path: str) -> None:
+    """Remove heads before the newest but one, and batches' parts that the two newest heads don't name. Not while a stream runs."""
+    newest = _newest(spark, path)
+    kept = {pb for n in (newest, newest - 1) if n >= 0 for pb in _heads(spark, path, n).items()}
+    jvm = spark._jvm.org.apache.hadoop.fs
+    fs = jvm.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in fs.listStatus(jvm.Path(f"{path}/heads")):
+        if int(status.getPath().getName().split("=")[1]) < newest - 1:
+            fs.delete(status.getPath(), True)
+    for folder in fs.globStatus(jvm.Path(f"{path}/data/batch=*/part=*")):
+        part, number = int(folder.getPath().getName().split("=")[1]), int(folder.getPath().getParent().getName().split("=")[1])
+        if (part, number) not in kept:
+            fs.delete(folder.getPath(), True)
 
 
 def transitions(events: DataFrame, key: str, item: str, time: str, late: str = "10 minutes") -> DataFrame:

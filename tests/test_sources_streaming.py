@@ -2,6 +2,7 @@ import datetime
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from attesta.functions import ids
 from attesta.functions.rating import ONE
@@ -74,6 +75,33 @@ def test_stream_fold_is_the_batches_fold(spark, tmp_path):
     assert sorted(r.witness_count for r in incremental.current(spark, f"file://{tmp_path}/out").collect()) == [2, 4]
 
 
+def test_stream_fold_of_many_deviations_and_a_failed_batch(spark, tmp_path):
+    ts = datetime.datetime(2026, 1, 1)
+    rows = [(f"s{i % 7}", "r", f"o{i % 3}", f"src{i % 5}", None, (i % 11) * ONE // 10, (30 + 40 * (i % 5)) * ONE, ts + datetime.timedelta(days=i)) for i in range(200)]
+    named = spark.createDataFrame(rows, "s string, r string, o string, src string, c string, score_fp long, opponent_rd_fp long, ts timestamp")
+    said = named.select(ids.canonical_id("s").alias("subject_id"), ids.canonical_id("r").alias("type_id"), ids.canonical_id("o").alias("object_id"), ids.source_id("src").alias("source_id"), ids.canonical_id("c").alias("context_id"), "score_fp", "opponent_rd_fp", "ts")
+    said.coalesce(1).write.parquet(f"file://{tmp_path}/in/1")
+    stream = spark.readStream.schema(said.schema).parquet(f"file://{tmp_path}/in/*")
+    out, ck = f"file://{tmp_path}/out", f"file://{tmp_path}/ck"
+    incremental.fold_stream(stream, out, ck, parts=4).awaitTermination()
+    state = lambda df: sorted((bytes(r.id), r.rating, r.rd, r.volatility, r.witness_count, r.last_observed_at) for r in df.collect())
+    once = state(incremental.current(spark, out))
+    assert once == state(fold.fold(fold.observe(said))) and len(once) == 21
+    # the next batch folds its deltas onto that, one period for each deviation, whatever a failed try left behind
+    (tmp_path / "out/data/batch=1/part=0").mkdir(parents=True)
+    (tmp_path / "out/heads/batch=1").mkdir(parents=True)
+    more = said.filter(F.col("subject_id") == ids.canonical_id(F.lit("s1")))
+    more.coalesce(1).write.parquet(f"file://{tmp_path}/in/2")
+    assert state(incremental.current(spark, out)) == once
+    incremental.fold_stream(stream, out, ck, parts=4).awaitTermination()
+    want = fold.fold(fold.observe(said))
+    for phi in sorted({r.phi for r in fold.deltas(fold.observe(more)).select("phi").distinct().collect()}):
+        want = fold.upsert(want, fold.deltas(fold.observe(more)).filter(F.col("phi") == phi))
+    assert state(incremental.current(spark, out)) == state(want)
+    incremental.vacuum(spark, out)
+    assert state(incremental.current(spark, out)) == state(want)
+
+
 def test_small_operators(spark):
     seqs = spark.createDataFrame([("d", i, x) for i, x in enumerate("aabca")], "seq string, pos int, item string")
     assert {(r.ordinal, r.item, r.run) for r in sequence.run_lengths(seqs).collect()} == {(0, "a", 2), (1, "b", 1), (2, "c", 1), (3, "a", 1)}
