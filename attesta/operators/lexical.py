@@ -87,3 +87,97 @@ def labels(ids: DataFrame, names: DataFrame, consensus: DataFrame | None = None,
     else:
         own = own.withColumn("alias", F.lit(None).cast("string"))
     return own.select("id", F.coalesce("canonical", "alias", F.lower(F.hex("id"))).alias("label"))
+
+
+# --- senses with their definitions, examples, members -------------------------------------------------------------
+
+
+def senses(consensus: DataFrame, words: DataFrame, sense: list[bytes], synset: list[bytes], context: DataFrame | None = None) -> DataFrame:
+    """word, sense_id, synset_id, eff_mu (three decimals), witnesses and score of each word's (word) senses.
+
+    context (id): ids that raise the score of synsets that have an edge to them.
+    """
+    rows = bubble_up(consensus, words.select(F.col("word").alias("term")), sense, synset, context)
+    shown = F.round(F.col("mu") / F.lit(1e9), 3)
+    return rows.select(F.col("term").alias("word"), "sense_id", "synset_id", shown.alias("eff_mu"), "witnesses", "score")
+
+
+def _texts_of_senses(consensus: DataFrame, found: DataFrame, types: list[bytes]) -> DataFrame:
+    """word, object_id, eff_mu, witnesses, sense_rank: what edges of some types say of each word's senses and synsets."""
+    ends = found.select("word", F.explode(F.array_distinct(F.array("sense_id", "synset_id"))).alias("subject"), F.col("eff_mu").alias("sense_rank"))
+    said = _links(consensus, types, "subject", "object_id").withColumn("eff_mu", F.round(F.col("mu") / F.lit(1e9), 3)).drop("mu")
+    return ends.join(said, "subject").select("word", "object_id", "eff_mu", "witnesses", "sense_rank")
+
+
+def _best_texts(rows: DataFrame, texts: DataFrame, limit: int) -> DataFrame:
+    rank = F.round(F.coalesce("sense_rank", F.lit(0.0)) + F.col("eff_mu"), 3)
+    place = F.row_number().over(Window.partitionBy("word").orderBy(F.desc(rank), "object_id", F.desc("witnesses"), F.desc(F.coalesce("sense_rank", F.lit(0.0)))))
+    best = rows.withColumn("place", place).filter(F.col("place") <= limit)
+    return best.join(texts.select(F.col("id").alias("object_id"), F.col("name").alias("text")), "object_id", "left").select("word", "place", "text", "eff_mu", "witnesses")
+
+
+def definitions(consensus: DataFrame, words: DataFrame, sense: list[bytes], synset: list[bytes], defines: list[bytes], texts: DataFrame, peers: DataFrame | None = None, context: DataFrame | None = None, limit: int = 5) -> DataFrame:
+    """Each word's definitions, those of its senses and synsets and of its own, the best first: word, place, text, eff_mu, witnesses.
+
+    texts: (id, name); peers: (word, peer), forms whose own definitions count as the word's.
+    """
+    arms = _texts_of_senses(consensus, senses(consensus, words, sense, synset, context), defines)
+    forms = words.select("word", F.col("word").alias("peer"))
+    forms = (forms if peers is None else forms.unionByName(peers.select("word", "peer").join(words.select("word"), "word", "left_semi"))).distinct()
+    own = _links(consensus, defines, "peer", "object_id").join(forms, "peer")
+    own = own.select("word", "object_id", F.round(F.col("mu") / F.lit(1e9), 3).alias("eff_mu"), "witnesses", F.lit(None).cast("double").alias("sense_rank"))
+    return _best_texts(arms.unionByName(own), texts, limit)
+
+
+def examples(consensus: DataFrame, words: DataFrame, sense: list[bytes], synset: list[bytes], shows: list[bytes], texts: DataFrame, limit: int = 5) -> DataFrame:
+    """Each word's examples, those of its best senses first."""
+    return _best_texts(_texts_of_senses(consensus, senses(consensus, words, sense, synset), shows), texts, limit)
+
+
+def sense_audit(consensus: DataFrame, words: DataFrame, sense: list[bytes], synset: list[bytes], language: list[bytes], law: DataFrame, limit: int = 64) -> DataFrame:
+    """Why senses were found: word, place, synset_id, via (best relation from the word itself), language_id, eff_mu, witnesses."""
+    found = senses(consensus, words, sense, synset)
+    place = F.row_number().over(Window.partitionBy("word").orderBy(F.desc("eff_mu"), "synset_id", "sense_id"))
+    top = found.withColumn("place", place).filter(F.col("place") <= limit)
+    edges = consensus.filter(~refuted()).join(law.select("type_id", "relation"), "type_id", "left")
+    via = edges.groupBy(F.col("subject_id").alias("word"), F.col("object_id").alias("synset_id")).agg(F.min_by("relation", F.struct(-eff_mu(), "type_id")).alias("via"))
+    tongue = _links(consensus, language, "synset_id", "language_id").groupBy("synset_id").agg(F.min_by("language_id", F.struct(-F.col("mu"), "language_id")).alias("language_id"))
+    return top.join(via, ["word", "synset_id"], "left").join(tongue, "synset_id", "left").select("word", "place", "synset_id", "via", "language_id", "eff_mu", "witnesses")
+
+
+def synset_members(consensus: DataFrame, words: DataFrame, sense: list[bytes], synset: list[bytes], synonym: list[bytes], instance: list[bytes] | None = None) -> DataFrame:
+    """Other words of each word's synsets, and what is said to be a synonym either way: word, member, mu, witnesses.
+
+    instance: relations whose subjects are single instances; senses of such synsets are left out.
+    """
+    mine = senses(consensus, words, sense, synset).select("word", "synset_id").distinct()
+    if instance:
+        mine = mine.join(_links(consensus, instance, "synset_id", "of").filter("mu > 0"), "synset_id", "left_anti")
+    into = _links(consensus, synset, "sense_id", "synset_id").select("sense_id", "synset_id")
+    held = _links(consensus, sense, "member", "sense_id").join(into, "sense_id").join(mine, "synset_id").select("word", "member", "mu", "witnesses")
+    pairs = _links(consensus, synonym, "a", "b")
+    both = pairs.select(F.col("a").alias("word"), F.col("b").alias("member"), "mu", "witnesses").unionByName(pairs.select(F.col("b").alias("word"), F.col("a").alias("member"), "mu", "witnesses"))
+    rows = held.unionByName(both.join(words.select("word").distinct(), "word", "left_semi")).filter("member <> word")
+    return rows.groupBy("word", "member").agg(F.max("mu").alias("mu"), F.sum("witnesses").alias("witnesses"))
+
+
+def case_variants(words: DataFrame, text: str = "text") -> DataFrame:
+    """text, variant: each text as it is, in lower, upper and title case, and with a capital first letter; each form once."""
+    t = F.col(text)
+    first = F.concat(F.upper(F.substring(t, 1, 1)), F.substring(F.lower(t), 2, 1 << 30))
+    forms = F.array_distinct(F.array(t, F.lower(t), F.upper(t), F.initcap(t), first))
+    return words.select(t.alias("text"), F.explode(forms).alias("variant"))
+
+
+def lexical_peers(words: DataFrame, consensus: DataFrame, sense: list[bytes], prefix: str = "word:") -> DataFrame:
+    """word, peer: case variants of each word (word, text) that have senses of their own."""
+    from ..functions.ids import canonical_id
+
+    forms = words.join(case_variants(words.select("text").distinct()), "text").withColumn("peer", canonical_id(F.concat(F.lit(prefix), "variant")))
+    known = _links(consensus, sense, "peer", "sense_id").select("peer").distinct()
+    return forms.select("word", "peer").distinct().join(known, "peer", "left_semi")
+
+
+def type_labels(law: DataFrame) -> DataFrame:
+    """type_id, label: relation names as words."""
+    return law.select("type_id", F.lower(F.translate("relation", "_", " ")).alias("label"))
