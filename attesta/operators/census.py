@@ -94,12 +94,18 @@ def tier_distribution(entities: DataFrame) -> DataFrame:
 
 
 def identity_violations(entities: DataFrame, trajectories: DataFrame) -> DataFrame:
-    """id, reason: tiers out of range, ids of several tiers or of several trajectories, types that are no entity."""
-    out = entities.filter(~F.col("tier").between(0, 4)).select("id", F.lit("tier_out_of_range").alias("reason"))
-    several = entities.groupBy("id").agg(F.countDistinct("tier").alias("n")).filter("n > 1").select("id", F.lit("multi_tier_entity").alias("reason"))
-    unclear = trajectories.groupBy(F.col("entity_id").alias("id")).agg(F.countDistinct("points").alias("n")).filter("n > 1").select("id", F.lit("ambiguous_physicality").alias("reason"))
-    dangling = entities.filter("type_id is not null").join(entities.select(F.col("id").alias("type_id")).distinct(), "type_id", "left_anti").select("id", F.lit("dangling_entity_type").alias("reason"))
-    return out.unionByName(several).unionByName(unclear).unionByName(dangling).distinct()
+    """id, tier, reason: tiers out of range, ids that are there several times, keys (entity_id, phys_type, id) with several
+    trajectories, and types that are no entity, each once. trajectories: with points, and id where a key has one."""
+    nothing = F.lit(None).cast("short")
+    out = entities.filter("tier < 0 or tier >= 256").select("id", "tier", F.lit("tier_out_of_range").alias("reason"))
+    several = entities.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id")
+    twice = entities.join(several, "id", "left_semi").select("id", "tier", F.lit("multi_tier_entity").alias("reason"))
+    key = [c for c in ("entity_id", "phys_type", "id") if c in trajectories.columns]
+    unclear = trajectories.filter("points is not null").groupBy(*key).agg(F.countDistinct("points").alias("n")).filter("n > 1")
+    unclear = unclear.select(F.col("entity_id").alias("id"), nothing.alias("tier"), F.lit("ambiguous_physicality").alias("reason"))
+    types = entities.filter("type_id is not null").select("type_id").distinct()
+    dangling = types.join(entities.select(F.col("id").alias("type_id")), "type_id", "left_anti").select(F.col("type_id").alias("id"), nothing.alias("tier"), F.lit("dangling_entity_type").alias("reason"))
+    return out.unionByName(twice).unionByName(unclear).unionByName(dangling)
 
 
 def orphans(trajectories: DataFrame, entities: DataFrame) -> DataFrame:

@@ -89,7 +89,7 @@ def opening_match(lines: DataFrame, openings: DataFrame) -> DataFrame:
     """
     lengths = openings.select(F.size("moves").alias("n")).distinct()
     prefixes = lines.join(F.broadcast(lengths), F.size("moves") >= F.col("n")).select("event_id", "n", F.slice("moves", 1, F.col("n")).alias("moves"))
-    found = prefixes.join(openings, "moves")
+    found = prefixes.join(openings.select("moves", "opening"), "moves")
     return found.groupBy("event_id").agg(F.max_by("opening", F.struct("n", "opening")).alias("opening"), F.max("n").alias("plies"))
 
 
@@ -105,6 +105,73 @@ def player_search(players: DataFrame, queries: DataFrame, limit: int = 600) -> D
     return rows.withColumn("place", place).filter(F.col("place") <= limit).select("query", "player_id", "name", "games")
 
 
-def initial_page(players: DataFrame, initials: list[str], limit: int, offset: int = 0) -> DataFrame:
+# --- lines, positions, openings -----------------------------------------------------------------------------------
+
+
+def headers(games: DataFrame, names: DataFrame) -> DataFrame:
+    """A game's header with both players' names (names: player_id, name)."""
+    white = names.select(F.col("player_id").alias("white_id"), F.col("name").alias("white"))
+    black = names.select(F.col("player_id").alias("black_id"), F.col("name").alias("black"))
+    return games.join(white, "white_id", "left").join(black, "black_id", "left").select("event_id", "white_id", "white", "black_id", "black", "result", "played_on", "opening")
+
+
+def lines(moves: DataFrame) -> DataFrame:
+    """event_id, moves in order."""
+    return moves.groupBy("event_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("ply", "move_id"))), lambda s: s["move_id"]).alias("moves"))
+
+
+def line_playings(moves: DataFrame, games: DataFrame) -> DataFrame:
+    """moves, times_played, score and last_played of each distinct line."""
+    rows = lines(moves).join(games.select("event_id", "result", "played_on"), "event_id")
+    return rows.groupBy("moves").agg(F.count("*").alias("times_played"), (F.avg(outcome(F.lit(True), "result")) / 2).alias("score"), F.max("played_on").alias("last_played"))
+
+
+def opening_games(games: DataFrame, limit: int = 25, offset: int = 0) -> DataFrame:
+    """A page of each opening's games, the newest first."""
+    place = F.row_number().over(Window.partitionBy("opening").orderBy(F.desc_nulls_last("played_on"), "event_id"))
+    return games.withColumn("place", place).filter((F.col("place") > offset) & (F.col("place") <= offset + limit))
+
+
+def line_facts(moves: DataFrame, facts: DataFrame, limit: int = 64) -> DataFrame:
+    """event_id, ply, move_id, wdl, dtz: what a table of endings (move_id, wdl, dtz) says along each line."""
+    rows = moves.join(facts, "move_id")
+    place = F.row_number().over(Window.partitionBy("event_id").orderBy("ply"))
+    return rows.withColumn("place", place).filter(F.col("place") <= limit).select("event_id", "ply", "move_id", "wdl", "dtz")
+
+
+def distance_to_facts(moves: DataFrame, facts: DataFrame) -> DataFrame:
+    """event_id, ply, wdl, dtz: the first place on each line that the table of endings knows."""
+    return moves.join(facts, "move_id").groupBy("event_id").agg(F.min(F.struct("ply", "wdl", "dtz")).alias("x")).select("event_id", "x.ply", "x.wdl", "x.dtz")
+
+
+def missed_finishes(moves: DataFrame, facts: DataFrame) -> DataFrame:
+    """event_id, ply, from_wdl, to_wdl: a won place followed by one that isn't lost for the other side."""
+    w = Window.partitionBy("event_id").orderBy("ply")
+    known = moves.join(facts, "move_id", "left")
+    rows = known.select("event_id", "ply", F.col("wdl").alias("from_wdl"), F.lead("wdl").over(w).alias("to_wdl"))
+    return rows.filter((F.col("from_wdl") == "win") & F.col("to_wdl").isNotNull() & ~F.col("to_wdl").isin("loss", "blessed-loss"))
+
+
+def opening_endgames(games: DataFrame, moves: DataFrame, facts: DataFrame) -> DataFrame:
+    """opening, wdl, positions, lines: what endings each opening reaches."""
+    rows = moves.join(facts, "move_id").join(games.select("event_id", "opening"), "event_id")
+    return rows.groupBy("opening", "wdl").agg(F.countDistinct("move_id").alias("positions"), F.countDistinct("event_id").alias("lines"))
+
+
+def ratings(games: DataFrame, rating: str = "rating") -> DataFrame:
+    """player_id, rating, games: how many games each player has with each recorded rating (a text that may be no number)."""
+    rows = games.withColumn("_rating", F.expr(f"try_cast({rating} as int)")).filter("_rating is not null")
+    return rows.groupBy("player_id", F.col("_rating").alias("rating")).agg(F.count("*").alias("games"))
+
+
+def think_classes(plays: DataFrame, classes: list[str]) -> DataFrame:
+    """think_class, positions, plays, mean of value, a row for every class asked for."""
+    own = plays.groupBy("think_class").agg(F.countDistinct("move_id").alias("positions"), F.count("*").alias("plays"), F.avg("value").alias("mean"))
+    listed = plays.sparkSession.createDataFrame([(c,) for c in classes], "think_class string")
+    return listed.join(own, "think_class", "left").fillna(0, ["positions", "plays"])
+
+
+def players_page(players: DataFrame, initials: list[str], limit: int, offset: int = 0, sort: str = "name", descending: bool = False) -> DataFrame:
+    """A page of the players whose names begin with some letters, by a column."""
     rows = players.filter(F.upper(F.substring("name", 1, 1)).isin(*initials))
-    return rows.orderBy("name", "player_id").offset(offset).limit(limit)
+    return rows.orderBy(F.desc(sort) if descending else F.asc(sort), "player_id").offset(offset).limit(limit)

@@ -6,6 +6,7 @@ edges are joined, never collected.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,24 +34,48 @@ def web_neighbors(edges: DataFrame, frontier: DataFrame, limit: int, types: list
     return best.withColumn("place", place).filter(F.col("place") <= limit).drop("place")
 
 
-def explore_web(edges: DataFrame, seeds: DataFrame, hops: int = 2, fanout: int = 10, types: list[bytes] | None = None) -> DataFrame:
-    """Breadth-first web around seeds (id): each level's new ids, by at most `fanout` edges of each id of the level before."""
-    seen = frontier = cut(seeds.select("id").distinct(), "web-seen")
-    out = None
+def explore_web(edges: DataFrame, seeds: DataFrame, hops: int = 2, fanout: int = 10, types: list[bytes] | None = None, max_nodes: int | None = None) -> DataFrame:
+    """The web around each seed (id): at every hop the `fanout` new ids with the strongest edge to any id of the hop before.
+
+    seed, hop, a (an id of the hop before), b (the new id), type_id, rating, rd, witness_count, outbound, strength. A web has
+    max_nodes ids at most, its seed among them (1 + hops * fanout if not given). Refuted edges aren't walked.
+    """
+    room = 1 + hops * fanout if max_nodes is None else max_nodes
+    own = edges if types is None else edges.filter(F.col("type_id").isin(*types))
+    own = own.filter(~refuted() & F.col("object_id").isNotNull())
+    state = ["type_id", "rating", "rd", "witness_count", edge_strength().alias("strength")]
+    out = own.select(F.col("subject_id").alias("a"), F.col("object_id").alias("b"), F.lit(True).alias("outbound"), *state)
+    ways = cut(out.unionByName(own.filter("subject_id <> object_id").select(F.col("object_id").alias("a"), F.col("subject_id").alias("b"), F.lit(False).alias("outbound"), *state)), "web-ways")
+    seen = frontier = cut(seeds.select(F.col("id").alias("seed"), F.col("id").alias("at")).distinct(), "web-seen")
+    found = None
     for hop in range(1, hops + 1):
-        found = web_neighbors(edges, frontier, fanout, types).join(seen.withColumnRenamed("id", "b"), "b", "left_anti")
-        level = cut(found.withColumn("hop", F.lit(hop)), "web-level")
-        out = level if out is None else out.unionByName(level)
-        frontier = cut(level.select(F.col("b").alias("id")).distinct(), "web-frontier")
-        if frontier.isEmpty():
+        left = min(fanout, room - 1 - (hop - 1) * fanout)
+        if left <= 0:
             break
+        reached = frontier.join(ways, F.col("at") == F.col("a")).drop("at").join(seen.select("seed", F.col("at").alias("b")), ["seed", "b"], "left_anti")
+        order = F.struct((-F.col("strength")).alias("s"), "type_id", "a", (~F.col("outbound")).alias("o"))
+        # one edge an id first, which needs no sort of a seed's candidates; what is sorted are distinct ids
+        one = reached.groupBy("seed", "b").agg(F.min(F.struct(order.alias("k"), "rating", "rd", "witness_count")).alias("x"))
+        place = F.row_number().over(Window.partitionBy("seed").orderBy("x.k.s", "b"))
+        best = one.withColumn("place", place).filter(F.col("place") <= left)
+        level = cut(best.select("seed", F.lit(hop).alias("hop"), F.col("x.k.a").alias("a"), "b", F.col("x.k.type_id").alias("type_id"), F.col("x.rating").alias("rating"), F.col("x.rd").alias("rd"), F.col("x.witness_count").alias("witness_count"), (~F.col("x.k.o")).alias("outbound"), (-F.col("x.k.s")).alias("strength")), "web-level")
+        if level.isEmpty():
+            break
+        found = level if found is None else found.unionByName(level)
+        frontier = level.select("seed", F.col("b").alias("at"))
         seen = seen.union(frontier)
-    return out
+    if found is None:
+        return ways.limit(0).select(F.col("a").alias("seed"), F.lit(1).alias("hop"), "a", "b", "type_id", "rating", "rd", "witness_count", "outbound", "strength")
+    return found
 
 
 def walk_strongest(edges: DataFrame, starts: DataFrame, depth: int = 4, types: list[bytes] | None = None) -> DataFrame:
     """From each start (id) the strongest edge out, again and again, never back: start, step, type_id, entity_id, eff_mu."""
-    steps = cut(_steps(edges, types, True).select("a", "b", "type_id", eff_mu().alias("mu")), "walk-steps")
+    # of an id's edges a walk can have been at the end of `depth` before; only the best beyond these can matter
+    one = _steps(edges, types, True).groupBy("a", "b").agg(F.min(F.struct((-eff_mu()).alias("k"), "type_id")).alias("x"))
+    rank = F.row_number().over(Window.partitionBy("a").orderBy("x.k", "b"))
+    best = one.withColumn("rank", rank).filter(F.col("rank") <= depth + 1)
+    steps = cut(best.select("a", "b", F.col("x.type_id").alias("type_id"), (-F.col("x.k")).alias("mu")), "walk-steps")
     here = starts.select(F.col("id").alias("start"), F.col("id").alias("at"), F.array("id").alias("path"))
     out = None
     for step in range(1, depth + 1):
@@ -63,21 +88,51 @@ def walk_strongest(edges: DataFrame, starts: DataFrame, depth: int = 4, types: l
 
 
 def walk_branches(edges: DataFrame, starts: DataFrame, depth: int = 4, breadth: int = 5, types: list[bytes] | None = None) -> DataFrame:
-    """A beam from each start: at each depth the `breadth` paths of the highest mean signed weight."""
-    steps = cut(_steps(edges, types, True).select("a", "b", "type_id", walk_edge_weight().alias("w"), eff_mu().alias("mu"), "witness_count"), "beam-steps")
-    here = starts.select(F.col("id").alias("start"), F.col("id").alias("at"), F.array("id").alias("path"), F.lit(0.0).alias("total"))
+    """A walk from each start (id): every id that is reached goes on by its `breadth` best edges out, no id is reached twice.
+
+    An edge's worth is its relation's rank times its signed weight; one that isn't positive is never walked, so a walk may
+    end early. At each depth ids go on in the order in which they were reached, and what one takes the next one can't.
+    start, depth, place (the order in the walk's depth), parent, entity_id, type_id, mu, witness_count, path and total (the
+    sum of the path's conservative ratings). edges: ranked().
+    """
+    own = edges if types is None else edges.filter(F.col("type_id").isin(*types))
+    own = own.withColumn("base", F.col("rank") * walk_edge_weight()).filter("base > 0 and object_id is not null and subject_id <> object_id")
+    best = own.groupBy(F.col("subject_id").alias("a"), F.col("object_id").alias("b")).agg(F.min(F.struct((-F.col("base")).alias("k"), "type_id", eff_mu().alias("mu"), "witness_count")).alias("x"))
+    steps = cut(best.select("a", "b", F.round(-F.col("x.k"), 12).alias("base"), F.col("x.type_id").alias("type_id"), F.col("x.mu").alias("mu"), F.col("x.witness_count").alias("witness_count")), "beam-steps")
+    here = starts.select(F.col("id").alias("start"), F.col("id").alias("at"), F.array("id").alias("path"), F.lit(0.0).alias("total"), F.lit(1).alias("place")).distinct()
+    seen = cut(here.select("start", "at"), "beam-seen")
     out = None
     for step in range(1, depth + 1):
-        rows = here.join(steps, F.col("at") == F.col("a")).filter(~F.array_contains("path", F.col("b")))
-        rows = rows.withColumns({"path": F.concat("path", F.array("b")), "total": F.col("total") + F.col("w")})
-        place = F.row_number().over(Window.partitionBy("start").orderBy(F.desc(F.round("total", 9)), "path", "type_id"))
-        kept = rows.withColumn("place", place).filter(F.col("place") <= breadth)
-        level = cut(kept.select("start", F.lit(step).alias("depth"), "path", "type_id", F.col("b").alias("entity_id"), "mu", "witness_count", "total", "place"), "beam-level")
+        rows = here.join(steps, F.col("at") == F.col("a")).drop("at").join(seen.select("start", F.col("at").alias("b")), ["start", "b"], "left_anti")
+        # of its candidates an id can lose no more than those before it take
+        rank = F.row_number().over(Window.partitionBy("start", "a").orderBy(F.desc("base"), "b"))
+        kept = rows.withColumn("rank", rank).filter(F.col("rank") <= breadth * F.col("place"))
+        chosen = kept.groupBy("start").applyInPandas(_taken(breadth), "start binary, a binary, b binary, place int")
+        level = cut(chosen.join(kept.drop("place", "rank"), ["start", "a", "b"]).select("start", F.lit(step).alias("depth"), "place", F.col("a").alias("parent"), F.col("b").alias("entity_id"), "type_id", "mu", "witness_count", F.concat("path", F.array("b")).alias("path"), (F.col("total") + F.col("mu") / F.lit(1e9)).alias("total")), "beam-level")
+        if level.isEmpty() and out is not None:
+            break
         out = level if out is None else out.unionByName(level)
-        here = level.select("start", F.col("entity_id").alias("at"), "path", "total")
+        here = level.select("start", F.col("entity_id").alias("at"), "path", "total", "place")
+        seen = seen.union(level.select("start", F.col("entity_id").alias("at")))
     return out
 
 
+def _taken(breadth: int):
+    """Of one walk's candidates at one depth those that are taken, ids in their order, each its best that are left."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        taken, out, have = set(), [], {}
+        for r in rows.sort_values(["place", "rank"]).itertuples(index=False):
+            b = bytes(r.b)
+            if b not in taken and have.get(r.place, 0) < breadth:
+                taken.add(b)
+                have[r.place] = have.get(r.place, 0) + 1
+                out.append((r.start, r.a, r.b, len(out) + 1))
+        return pd.DataFrame(out, columns=["start", "a", "b", "place"])
+
+    return run
+
+
 def ancestry(edges: DataFrame, starts: DataFrame, types: list[bytes], depth: int = 10) -> DataFrame:
     """Everything above each start (id) along edges of positive rating: smallest depth and best rating of the last edge."""
     steps = cut(_steps(edges, types, True).filter(eff_mu() > 0).groupBy("a", "b").agg(F.max(eff_mu()).alias("mu")), "ancestry-steps")

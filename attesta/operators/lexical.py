@@ -37,16 +37,26 @@ def concept_peers(consensus: DataFrame, words: DataFrame, types: list[bytes], li
 
 
 def translations(consensus: DataFrame, words: DataFrame, sense: list[bytes], languages: DataFrame, same: bool = False, to: str | None = None, limit: int = 24) -> DataFrame:
-    """Words of other languages (of the same one, if same) that share a sense with each word. languages: (word, lang)."""
-    links = _links(consensus, sense, "word", "synset")
+    """Words of other languages (of the same one, if same) that share a sense with each word. languages: (word, lang).
+
+    A pair's rating is its best one over all senses that are shared, so a word among the best `limit` is one of the best
+    limit + 1 of its language in that sense: a sense hands on no more than these, however many words it has.
+    """
+    every = _links(consensus, sense, "word", "synset")
+    links = every.groupBy("word", "synset").agg(F.max("mu").alias("mu"))
     lang = languages.select("word", "lang").distinct()
     mine = links.join(words.select("word").distinct(), "word", "left_semi").join(lang, "word").select("word", "synset", "lang")
-    others = links.join(lang, "word").select(F.col("word").alias("other"), "synset", F.col("lang").alias("language"), "mu", "witnesses")
-    rows = mine.join(others, "synset").filter("other <> word").filter(F.col("language") == F.col("lang") if same else F.col("language") != F.col("lang"))
-    rows = rows if to is None else rows.filter(F.col("language") == to)
-    best = rows.groupBy("word", "other", "language").agg(F.max("mu").alias("mu"), F.sum("witnesses").alias("witnesses"))
+    others = links.join(lang, "word").select(F.col("word").alias("other"), "synset", F.col("lang").alias("language"), "mu")
+    others = others if to is None else others.filter(F.col("language") == to)
+    rank = F.row_number().over(Window.partitionBy("synset", "language").orderBy(F.desc("mu"), "other"))
+    few = others.withColumn("rank", rank).filter(F.col("rank") <= limit + 1).drop("rank")
+    rows = mine.join(few, "synset").filter("other <> word").filter(F.col("language") == F.col("lang") if same else F.col("language") != F.col("lang"))
+    best = rows.groupBy("word", "other", "language").agg(F.max("mu").alias("mu"))
     place = F.row_number().over(Window.partitionBy("word").orderBy(F.desc("mu"), "language", "other"))
-    return best.withColumn("place", place).filter(F.col("place") <= limit).drop("place")
+    kept = best.withColumn("place", place).filter(F.col("place") <= limit).drop("place")
+    # what the pairs that are left share
+    shared = kept.select("word", "other").distinct().join(every.select("word", "synset"), "word").join(every.select(F.col("word").alias("other"), "synset", "witnesses"), ["other", "synset"])
+    return kept.join(shared.groupBy("word", "other").agg(F.sum("witnesses").alias("witnesses")), ["word", "other"]).select("word", "other", "language", "mu", "witnesses")
 
 
 def language_coverage(consensus: DataFrame, concepts: DataFrame, types: list[bytes], languages: DataFrame) -> DataFrame:

@@ -41,6 +41,18 @@ def ordered_pairs(seqs: DataFrame, gap: int = 1, vocab: DataFrame | None = None)
     return rows.filter("ok and y is not null").drop("ok")
 
 
+def text_pairs(texts: DataFrame, seq: str, text: str, gap: int = 1, vocab: DataFrame | None = None, pattern: str = r"[^\x20\x09-\x0D]+") -> DataFrame:
+    """ordered_pairs(tokens(texts)), made within each text's own array: nothing is shuffled or sorted to find neighbours."""
+    found = F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(f"({pattern})"), 1)
+    rows = texts.select(F.col(seq).alias("seq"), found.alias("w")).filter(F.size("w") > gap)
+    each = rows.select("seq", F.explode(F.arrays_zip(F.slice("w", 1, F.size("w") - gap).alias("x"), F.slice("w", gap + 1, F.size("w")).alias("y"))).alias("p"))
+    pairs = each.select("seq", "p.x", "p.y")
+    if vocab is None:
+        return pairs
+    known = vocab.select("item").distinct()
+    return pairs.join(known.withColumnRenamed("item", "x"), "x", "left_semi").join(known.withColumnRenamed("item", "y"), "y", "left_semi")
+
+
 def order_plane(seqs: DataFrame, gap: int = 1, vocab: DataFrame | None = None) -> DataFrame:
     """Counts of ordered pairs: x, y, w."""
     return ordered_pairs(seqs, gap, vocab).groupBy("x", "y").agg(F.count("*").alias("w"))

@@ -73,14 +73,17 @@ def chess_player_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return games.next_moves(_games(spark, sf_dir), _moves(spark, sf_dir)).withColumn("score", F.round("score", 9))
 
 
-@query(f"WITH {_MOVES}, lines AS (SELECT event_id, list(move_id ORDER BY ply) AS m FROM moves GROUP BY event_id), o AS (SELECT DISTINCT m[1:k] AS om, k FROM lines, (VALUES (1), (2)) t(k) WHERE event_id % 10 = 0 AND len(m) >= k) SELECT event_id, max(k) AS plies FROM lines JOIN o ON m[1:k] = om GROUP BY event_id")
+#: An opening is a beginning of one or two moves that so many games share.
+_BOOK = 5
+
+
+@query(f"WITH {_MOVES}, lines AS (SELECT event_id, list(move_id ORDER BY ply) AS m FROM moves GROUP BY event_id), n AS (SELECT event_id, count(*) OVER (PARTITION BY m[1]) AS one, CASE WHEN len(m) > 1 THEN count(*) FILTER (len(m) > 1) OVER (PARTITION BY m[1], m[2]) ELSE 0 END AS two FROM lines) SELECT event_id, CAST(CASE WHEN two >= {_BOOK} THEN 2 ELSE 1 END AS INTEGER) AS plies FROM n WHERE one >= {_BOOK} OR two >= {_BOOK}")
 def chess_opening_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    listed = F.sort_array(F.collect_list(F.struct("ply", "move_id")))
-    lines = _moves(spark, sf_dir).groupBy("event_id").agg(F.transform(listed, lambda s: s["move_id"]).alias("moves"))
-    some = lines.filter("event_id % 10 = 0")
-    openings = some.filter(F.size("moves") >= 1).select(F.slice("moves", 1, 1).alias("moves")).union(some.filter(F.size("moves") >= 2).select(F.slice("moves", 1, 2))).distinct()
-    named = openings.withColumn("opening", F.concat_ws(" ", F.transform("moves", lambda m: m.cast("string"))))
-    return games.opening_match(lines, named).select("event_id", "plies")
+    lines = games.lines(_moves(spark, sf_dir))
+    begin = lines.select(F.explode(F.transform(F.sequence(F.lit(1), F.least(F.size("moves"), F.lit(2))), lambda k: F.slice("moves", 1, k))).alias("moves"))
+    book = begin.groupBy("moves").agg(F.count("*").alias("n")).filter(F.col("n") >= _BOOK)
+    named = book.withColumn("opening", F.concat_ws(" ", F.transform("moves", lambda m: m.cast("string"))))
+    return games.opening_match(lines, named).select("event_id", F.col("plies").cast("int").alias("plies"))
 
 
 @query("""WITH q AS (SELECT 'r0' AS query UNION ALL SELECT 'c12') SELECT query, c_custkey AS player_id FROM customer, q WHERE list_has_all(string_split(lower(c_name), ''), string_split(query, ''))""")
@@ -147,3 +150,69 @@ def path_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = said.select(F.col("subject").alias("name")).union(said.select("object")).distinct().withColumn("id", canonical_id("name"))
     labels = lexical.labels(names.select("id"), names)
     return converse.rendered_path(paths, labels, world.law(spark)).select("chain")
+
+
+# --- lines, positions, openings -----------------------------------------------------------------------------------
+
+_FACTS = "facts AS (SELECT k AS move_id, CASE k % 3 WHEN 0 THEN 'win' WHEN 1 THEN 'draw' ELSE 'loss' END AS wdl, CAST(k // 2 AS VARCHAR) AS dtz FROM range(100) t(k) WHERE k % 4 < 3)"
+
+
+def _facts(spark: SparkSession) -> DataFrame:
+    k = F.col("id")
+    wdl = F.when(k % 3 == 0, "win").when(k % 3 == 1, "draw").otherwise("loss")
+    return spark.range(100).filter("id % 4 < 3").select(k.alias("move_id"), wdl.alias("wdl"), F.floor(k / 2).cast("string").alias("dtz"))
+
+
+@query("SELECT o_orderkey AS event_id, w.c_name AS white, b.c_name AS black, o_orderpriority AS opening FROM orders LEFT JOIN customer w ON w.c_custkey = o_custkey LEFT JOIN customer b ON b.c_custkey = o_custkey % 50 + 1")
+def chess_game(spark: SparkSession, sf_dir: str) -> DataFrame:
+    who = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("player_id"), F.col("c_name").alias("name"))
+    return games.headers(_games(spark, sf_dir), who).select("event_id", "white", "black", "opening")
+
+
+@query(f"WITH {_SIDES}, {_MOVES}, lines AS (SELECT event_id, list(move_id ORDER BY ply) AS m FROM moves GROUP BY event_id) SELECT array_to_string(m, ' ') AS line, count(*) AS times_played, round(avg(white) / 2, 9) AS score, max(played_on) AS last_played FROM lines JOIN games USING (event_id) GROUP BY m")
+def chess_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = games.line_playings(_moves(spark, sf_dir), _games(spark, sf_dir))
+    return rows.select(F.concat_ws(" ", F.transform("moves", lambda m: m.cast("string"))).alias("line"), "times_played", F.round("score", 9).alias("score"), "last_played")
+
+
+@query(f"WITH {_SIDES}, p AS (SELECT *, row_number() OVER (PARTITION BY opening ORDER BY played_on DESC NULLS LAST, event_id) AS place FROM games) SELECT opening, event_id, played_on FROM p WHERE place > 10 AND place <= 30")
+def chess_opening_games(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return games.opening_games(_games(spark, sf_dir), 20, 10).select("opening", "event_id", "played_on")
+
+
+@query(f"WITH {_MOVES}, {_FACTS} SELECT event_id, ply, move_id, wdl, dtz FROM moves JOIN facts USING (move_id) QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY ply) <= 3")
+def chess_syzygy_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return games.line_facts(_moves(spark, sf_dir), _facts(spark), 3)
+
+
+@query(f"WITH {_MOVES}, {_FACTS} SELECT event_id, min(ply) AS ply, arg_min(wdl, ply) AS wdl, arg_min(dtz, ply) AS dtz FROM moves JOIN facts USING (move_id) GROUP BY event_id")
+def chess_distance_to_syzygy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return games.distance_to_facts(_moves(spark, sf_dir), _facts(spark))
+
+
+@query(f"WITH {_MOVES}, {_FACTS}, n AS (SELECT event_id, ply, wdl AS from_wdl, lead(wdl) OVER (PARTITION BY event_id ORDER BY ply) AS to_wdl FROM moves LEFT JOIN facts USING (move_id)) SELECT * FROM n WHERE from_wdl = 'win' AND to_wdl IS NOT NULL AND to_wdl NOT IN ('loss', 'blessed-loss')")
+def chess_missed_finish(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return games.missed_finishes(_moves(spark, sf_dir), _facts(spark))
+
+
+@query(f"WITH {_SIDES}, {_MOVES}, {_FACTS} SELECT opening, wdl, count(DISTINCT move_id) AS positions, count(DISTINCT event_id) AS lines FROM moves JOIN facts USING (move_id) JOIN games USING (event_id) GROUP BY ALL")
+def chess_opening_endgames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return games.opening_endgames(_games(spark, sf_dir), _moves(spark, sf_dir), _facts(spark))
+
+
+@query("SELECT o_custkey AS player_id, CAST(1000 + o_orderkey % 7 * 100 AS INTEGER) AS rating, count(*) AS games FROM orders WHERE o_orderkey % 5 > 0 GROUP BY ALL")
+def chess_player_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.when(F.col("o_orderkey") % 5 > 0, (1000 + F.col("o_orderkey") % 7 * 100).cast("string")).otherwise("?")
+    return games.ratings(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("player_id"), text.alias("rating")))
+
+
+@query("SELECT c AS think_class, coalesce(positions, 0) AS positions, coalesce(plays, 0) AS plays, mean FROM unnest(['A', 'N', 'R', 'X']) t(c) LEFT JOIN (SELECT l_returnflag, count(DISTINCT l_partkey % 100) AS positions, count(*) AS plays, round(avg(l_quantity), 6) AS mean FROM lineitem GROUP BY 1) ON l_returnflag = c")
+def chess_time_pressure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plays = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("think_class"), (F.col("l_partkey") % 100).alias("move_id"), F.col("l_quantity").alias("value"))
+    return games.think_classes(plays, ["A", "N", "R", "X"]).withColumn("mean", F.round("mean", 6))
+
+
+@query("SELECT c_custkey AS player_id, c_name AS name FROM customer WHERE upper(substr(c_name, 1, 1)) IN ('C', 'D') ORDER BY c_acctbal DESC, player_id LIMIT 20 OFFSET 5")
+def chess_players_by_initial(spark: SparkSession, sf_dir: str) -> DataFrame:
+    players = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("player_id"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"))
+    return games.players_page(players, ["C", "D"], 20, 5, "balance", True).select("player_id", "name")

@@ -34,14 +34,13 @@ def corpus_word_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_WORDS}, {_VOCAB}, p AS (SELECT item AS x, lead(item) OVER (PARTITION BY seq ORDER BY pos) AS y FROM toks) SELECT x, y, count(*) AS w FROM p WHERE x IN (SELECT item FROM vocab) AND y IN (SELECT item FROM vocab) GROUP BY x, y")
 def word_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = words(spark, sf_dir)
-    return sequence.order_plane(w, 1, sequence.vocabulary(w, 500))
+    pairs = sequence.text_pairs(table(spark, sf_dir, "documents"), "doc_id", "text", 1, sequence.vocabulary(words(spark, sf_dir), 500))
+    return pairs.groupBy("x", "y").agg(F.count("*").alias("w"))
 
 
 @query(f"WITH {_WORDS}, {_VOCAB}, p AS (SELECT seq, item AS x, lead(item, 2) OVER (PARTITION BY seq ORDER BY pos) AS y FROM toks) SELECT x, y, count(*) AS pairs, count(DISTINCT seq) AS witnesses FROM p WHERE x IN (SELECT item FROM vocab) AND y IN (SELECT item FROM vocab) GROUP BY x, y")
 def word_adjacency_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = words(spark, sf_dir)
-    rows = sequence.ordered_pairs(w, 2, sequence.vocabulary(w, 500))
+    rows = sequence.text_pairs(table(spark, sf_dir, "documents"), "doc_id", "text", 2, sequence.vocabulary(words(spark, sf_dir), 500))
     return rows.groupBy("x", "y").agg(F.count("*").alias("pairs"), F.countDistinct("seq").alias("witnesses"))
 
 

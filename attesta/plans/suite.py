@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import census_queries, edge_queries, game_queries, graph_queries, inspect_queries, lexicon, realize_queries, sequence_queries
+from . import census_queries, edge_queries, game_queries, graph_queries, inspect_queries, lexicon, ops_queries, realize_queries, sequence_queries
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "census_queries", "edge_queries", "flagship", "game_queries", "graph_queries", "inspect_queries", "lexicon", "realize_queries", "sequence_queries"]
+__all__ = ["ORACLES", "QUERIES", "census_queries", "edge_queries", "flagship", "game_queries", "graph_queries", "inspect_queries", "lexicon", "ops_queries", "realize_queries", "sequence_queries"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
