@@ -73,7 +73,8 @@ def raked(cells: DataFrame, rounds: int = ROUNDS, targets: dict[str, dict[str, f
         out = out.withColumn(f"o_{m}", F.when(once, F.col(f"t_{m}")).otherwise(0.0))
     every = Window.partitionBy()
     for m in MARGINS:
-        out = out.withColumn(f"t_{m}", F.col(f"t_{m}") / F.sum(f"o_{m}").over(every))
+        whole = F.sum(f"o_{m}").over(every)
+        out = out.withColumn(f"t_{m}", F.when(whole > 0, F.col(f"t_{m}") / whole).otherwise(0.0))
     out = out.withColumn("weight", F.col("tokens").cast("double"))
     for _ in range(rounds):
         for m in MARGINS:

@@ -498,7 +498,56 @@ def test_pipeline_keeps_one_of_each_group(spark, nasty, tmp_path):
             ids = {r.doc_id for r in docs.select("doc_id").collect()}
             want = brute.jaccard_components(accepted)
             assert ids == {i for i, (n, c) in want.items() if i == c}
-    assert docs.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and docs.count() > 5
+            single = pairs(docs)
+        if name == "repeated_strings":
+            want = {r[0]: r[4] for r in brute.suffix_dedup(single) if r[2] == 0 or r[2] < r[1]}
+            cleaned = {r.doc_id: r for r in docs.collect()}
+            assert cleaned.keys() == want.keys() and all(r.n_chars == len(r.text) for r in cleaned.values())
+            # a digest is of the remaining bytes; texts that were cut within a character are left out of the comparison
+            assert all(hashlib.sha256(r.text.encode()).hexdigest() == want[i] for i, r in cleaned.items() if i != 47)
+        if name == "mixture":
+            mixed = {r.doc_id: r for r in docs.collect()}
+            probs = {r.doc_id: (r.prob, r.mix_luck) for r in mixing.mix(spark.createDataFrame(list(cleaned.values()))).collect()}
+            assert mixed == {i: r for i, r in cleaned.items() if probs[i][1] < probs[i][0]}
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    got = {r.doc_id: r for r in docs.collect()}
+    assert docs.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and got.keys() == mixed.keys() and len(got) > 5
+    for i, r in mixed.items():
+        ids = library.encode(r.text)
+        assert (got[i].n_tokens, got[i].ids_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+
+
+def test_every_operator_takes_odd_columns(spark):
+    """Columns with the names that operators use, in texts that are all null or empty, and in plain ones."""
+    names = ["weight", "prob", "kept", "mix_topic", "chunk", "tokens", "row", "grp", "score", "train", "n_bytes", "sign", "v", "seq", "h", "label"]
+    for texts in ([None, "", None], ["one two three four five six", "uno dos tres", "one two three four five six"]):
+        rows = [(i, t, "en", "s", *range(len(names))) for i, t in enumerate(texts)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, " + ", ".join(f"{n} int" for n in names))
+        marks = spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int")
+        assert suffix_dedup.remove_repeats(docs).count() == 3
+        assert langid.identify(docs, langid.train(langid.learnable(docs))).count() == 3
+        assert langid.accepted(docs, langid.train(langid.learnable(docs))).columns == docs.columns
+        assert sentencepiece_codec.encode_documents(docs, PIECES).count() == 3
+        assert pitman_yor.score_documents(docs).count() == 3
+        assert quality.score_documents(docs, marks).count() == 3
+        assert token_files.export(docs, BYTES, 2)[1].count() == 3
+        assert mixing.sample(docs, keep=1.0).columns == docs.columns
+        assert toxicity.score_documents(docs, marks).count() == 3
+        assert jaccard_join.join_documents(docs).count() == 3
+
+
+def test_accuracy_on_rows_that_were_not_learnt_from(spark, sf_dir):
+    docs, marks = (spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.01')}/{t}.parquet") for t in ("documents", "labels"))
+    held = lambda n, r: F.crc32(F.col("doc_id").cast("string").cast("binary")) % n == r
+    got = langid.identify(docs, langid.train(langid.learnable(docs))).filter(held(4, 2)).join(docs.select("doc_id", "lang"), "doc_id").filter("lang is not null").collect()
+    assert len(got) > 100 and np.mean([r.lang == r.lang_pred for r in got]) > 0.97
+    scored = toxicity.score_documents(docs, marks, held_out=(3, 1)).filter(held(3, 1)).join(marks.filter("toxic is not null"), "doc_id").collect()
+    assert len(scored) > 20 and np.mean([r.predicted == r.toxic for r in scored]) > 0.9
+    even = marks.filter("doc_id % 2 = 0")
+    rated = quality.score_documents(docs, even).withColumnRenamed("quality", "p").join(marks.filter("doc_id % 2 = 1 and quality is not null"), "doc_id").collect()
+    assert len(rated) > 20 and np.mean([(r.p >= 0.5) == (r.quality == 1) for r in rated]) > 0.85
 
 
 def test_entry_has_the_queries():
