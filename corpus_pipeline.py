@@ -16,7 +16,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of equal or near copies; rows that share a doc_id are one document."""
+    """The document with the smallest doc_id of each group of equal or near copies; rows that share a doc_id are one document, and
+    rows without one stay, as nothing names them."""
     gone = jaccard_join.join_documents(docs).filter("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
