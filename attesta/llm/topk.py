@@ -30,7 +30,7 @@ from .common import ensure_columns
 BLOCK = 4096
 QUERY_BLOCK = 4096
 #: Depths (shares of each list) to which the lists are read in turn.
-DEPTHS = (0.1, 0.3, 0.5, 0.6, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95, 1.0)
+DEPTHS = (0.15, 0.4, 0.6, 0.75, 0.85, 0.93, 1.0)
 #: Share of a block's candidates that may be left for resolving.
 LEFT = 1 / 16
 SCALE = 1024
@@ -54,41 +54,46 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 
 
 class Lists:
-    """A block's sorted lists: for each dimension the candidates' places in ascending order of that component."""
+    """A block's sorted lists: for each dimension the candidates' places and components, ascending."""
 
     def __init__(self, vectors: np.ndarray, ids: np.ndarray):
         self.vectors, self.ids = vectors, ids
-        self.order = np.argsort(vectors, axis=0, kind="stable").astype(np.int32)
-        self.sorted = np.take_along_axis(vectors, self.order, axis=0)
-        self.ends = self.sorted[[0, -1]] if len(vectors) else np.zeros((2, vectors.shape[1]))
+        n, dims = vectors.shape
+        order = np.argsort(vectors, axis=0, kind="stable")
+        self.values = np.ascontiguousarray(np.take_along_axis(vectors, order, axis=0).T)
+        self.order = np.ascontiguousarray(order.T)
+        # where each candidate stands in each list
+        self.place = np.empty((n, dims), np.int16 if n < 1 << 15 else np.int32)
+        np.put_along_axis(self.place, order, np.arange(n, dtype=self.place.dtype)[:, None], axis=0)
 
     def search(self, query: np.ndarray, own: int, k: int, depths: tuple[float, ...] = DEPTHS) -> tuple[np.ndarray, np.ndarray, int]:
         """Places and scores of the k best candidates whose id isn't own, and how many entries were read."""
         n, dims = self.vectors.shape
-        down = query >= 0
-        worst = np.where(down, self.ends[0], self.ends[1]) * query
-        total, unread = np.zeros(n), np.ones((n, dims), np.float32)
-        alive, columns = np.flatnonzero(self.ids != own), np.arange(dims)
-        read, done = 0, 0
+        falling = query >= 0
+        tops, bottoms = np.flatnonzero(falling), np.flatnonzero(~falling)
+        worst = np.where(falling, self.values[:, 0], self.values[:, -1]) * query
+        total, alive = np.zeros(n), np.flatnonzero(self.ids != own)
+        read = done = 0
         for depth in depths:
             upto = min(n, max(1, int(np.ceil(depth * n))))
             # every list's next entries, from the end that the query favours
-            rows = np.arange(done, upto)[:, None]
-            rows = np.where(down, n - 1 - rows, rows)
-            place = self.order[rows, columns]
-            total += np.bincount(place.ravel(), (self.sorted[rows, columns] * query).ravel(), n)
-            unread[place, columns] = 0
-            read, done = read + place.size, upto
+            for lists, slab in ((tops, slice(n - upto, n - done)), (bottoms, slice(done, upto))):
+                if len(lists):
+                    total += np.bincount(self.order[lists, slab].ravel(), (self.values[lists, slab] * query[lists, None]).ravel(), n)
+            read, done = read + dims * (upto - done), upto
             if done == n:
                 break
-            frontier = self.sorted[rows[-1], columns] * query
-            bounds = unread[alive] @ np.stack([frontier, worst], 1) + total[alive, None]
+            frontier = np.where(falling, self.values[:, n - upto], self.values[:, upto - 1]) * query
+            border = np.where(falling, n - upto, upto).astype(self.place.dtype)
+            unread = ((self.place[alive] < border) ^ ~falling).astype(np.float64)
+            bounds = unread @ np.stack([frontier, worst], 1) + total[alive, None]
             if len(alive) > k:
                 kth = np.partition(bounds[:, 1], len(alive) - k)[len(alive) - k]
-                alive = alive[bounds[:, 0] >= kth]
+                left = bounds[:, 0] >= kth
+                alive, unread = alive[left], unread[left]
             if len(alive) <= max(2 * k, LEFT * n):
                 # outsiders can't qualify; the rest of the lists is needed for those left only
-                read += int(unread[alive].sum())
+                read += int(unread.sum())
                 total[alive] = self.vectors[alive] @ query
                 break
         best = alive[_best(total[alive], self.ids[alive], k)]
