@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, ensure_columns, flat, group_of, is_scan, mix, parts, pieces, scratch, stage, word_hash, words
+from .common import LOWER, ensure_columns, flat, group_of, is_scan, mix, parts, pieces, scratch, stage, trimmed, word_hash, words
 from .components import components
 
 #: Bytes of text in a chunk; a longer text is a chunk of its own.
@@ -49,7 +49,7 @@ _PARTS = 16
 #: Parts of a component's classes that are named apart.
 SALTS = 256
 #: Numbers of a matrix of sets by n-grams.
-_MATRIX = 1 << 24
+_MATRIX = 1 << 22
 
 
 def sets(data: np.ndarray, starts: np.ndarray, n: int = N) -> list[np.ndarray]:
@@ -368,7 +368,7 @@ def similar_classes(docs: DataFrame, n: int = N, threshold: int = THRESHOLD) ->
     if not is_scan(rows):
         rows = stage(rows, "jaccard-documents")
     groups = parts(rows, GROUP)
-    packets = rows.mapInArrow(_chunks(groups, n), _CHUNK_ROWS)
+    packets = rows.mapInArrow(trimmed(_chunks(groups, n)), _CHUNK_ROWS)
     answers = packets.groupBy("grp").applyInArrow(_count, _CHUNK_ROWS)
     gathered = answers.groupBy("chunk").applyInArrow(_gather(threshold), "doc_id long, n long, sign binary, shared binary")
     gathered = stage(gathered, "jaccard-sets")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import crc32_mod, ensure_columns
+from .common import crc32_mod, ensure_columns, trimmed
 
 ORDER = 4
 #: Sampled documents a language at most.
@@ -245,12 +245,12 @@ def _measurer(spark: SparkSession, model: Model):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            s = [symbols(x.as_py()) for x in batch.column("text")]
-            z = [_nearest(sent.value, x)[2] if len(x) >= ORDER else None for x in s]
+            found = map(symbols, (x.as_py() for x in batch.column("text")))  # one text's symbols at a time
+            z = [_nearest(sent.value, x)[2] if len(x) >= ORDER else None for x in found]
             rows = pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("luck"), pa.array(z, pa.float64())], names=["lang", "luck", "z"])
             yield rows.filter(rows.column("z").is_valid())
 
-    return run
+    return trimmed(run)
 
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -279,7 +279,7 @@ def _scorer(docs: DataFrame, model: Model | None, keep_rows: bool):
             ids = batch.column("doc_id").cast(pa.int64())
             yield pa.RecordBatch.from_arrays([ids, *(pa.array([row[k] for row in out], schema.field(k + 1).type) for k in range(4))], schema=schema)
 
-    return run
+    return trimmed(run)
 
 
 #: Symbols scored at once, so that a very long text needs no more memory than others.

@@ -22,7 +22,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import ensure_columns
+from .common import ensure_columns, trimmed
 
 SPACE_MARK = "▁"
 #: Words that a worker keeps; the older half goes when the table is full.
@@ -211,6 +211,11 @@ class PrefixTableCodec:
         self.cache[word] = out
         return out
 
+    def forget(self) -> None:
+        """Drop the kept words and pairs."""
+        self.cache.clear()
+        self.pairs.clear()
+
     def _apart(self, a: str, b: str) -> bool:
         """Whether no token has b right after a, so that what stands before is encoded without what stands behind."""
         return (a + b) not in self.inner and a != SPACE_MARK
@@ -233,7 +238,7 @@ _CODECS: dict[str, PrefixTableCodec] = {}
 
 
 def codec(model_path: str) -> PrefixTableCodec:
-    """One codec of a model for each worker, which keeps it from task to task."""
+    """One codec of a model for each worker, which keeps it from task to task; words and pairs are kept for one task."""
     if model_path not in _CODECS:
         _CODECS[model_path] = PrefixTableCodec(model_path)
     return _CODECS[model_path]
@@ -246,6 +251,7 @@ def encode_documents(docs: DataFrame, model_path: str, digests: bool = True) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model_path)
+        own.forget()
         for batch in batches:
             counts, a, b = [], [], []
             for value in batch.column(1):
@@ -259,6 +265,7 @@ def encode_documents(docs: DataFrame, model_path: str, digests: bool = True) ->
                     a.append([int(x) for x in joined.split(",") if x])
                     b.append(text)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(a, schema.field(2).type), pa.array(b, pa.string())], schema=schema)
+        own.forget()
 
     kinds = "ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string"
-    return ensure_columns(docs, doc_id="long", text="string").mapInArrow(run, f"doc_id long, n_tokens long, {kinds}")
+    return ensure_columns(docs, doc_id="long", text="string").mapInArrow(trimmed(run), f"doc_id long, n_tokens long, {kinds}")

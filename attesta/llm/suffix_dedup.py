@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
-from .common import bucketed, flat, gram_hash, group_of, mix, parts, scratch, stage, word_hash
+from .common import bucketed, flat, give_back, gram_hash, group_of, mix, parts, scratch, stage, word_hash
 
 #: Bytes of a repeated string, and of the k-grams that are anchors.
 LENGTH = 50
@@ -369,6 +369,8 @@ def _sort(table: pa.Table) -> pa.Table:
                 if edges[k + 1] > edges[k]:
                     found = np.stack([number[own[a[these]]].astype(np.int64), where[a[these]], where[b[these]], smallest[a[these]]])
                     rows.append(_row(chunk, _REPEAT, 0, pack.compress(found.tobytes())))
+    del data, eight, sizes, least, start, owner, place
+    give_back()
     return _table(rows)
 
 
@@ -412,6 +414,8 @@ def _mark(texts: bool, schema: pa.Schema):
             if texts:
                 out["text"].append(kept.decode(errors="ignore"))
         columns = [pa.array(out[f.name], f.type) if f.name in out else own.docs[f.name].cast(f.type) for f in schema]
+        del own, s, edge, gone, out
+        give_back()
         return pa.table(columns, schema=schema)
 
     return run
