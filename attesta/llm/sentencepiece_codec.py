@@ -26,7 +26,9 @@ from .common import ensure_columns, trimmed
 
 SPACE_MARK = "▁"
 #: Words that a worker keeps; the older half goes when the table is full.
-KEPT_WORDS = 150_000
+KEPT_WORDS = 400_000
+#: The same where words are kept for one task only.
+KEPT_BRIEFLY = 150_000
 #: Decided pairs that a worker keeps.
 KEPT_PAIRS = 300_000
 
@@ -89,6 +91,7 @@ class PrefixTableCodec:
             self.found.add_word(self.pieces[t], (t, len(self.pieces[t])))
         self.found.make_automaton()
         self.cache: dict[str, tuple[str, int, str]] = {}
+        self.most = KEPT_WORDS
 
     def _reached(self, t: int) -> bool:
         """Notes the last merge that makes t, if merging its characters ends in t."""
@@ -205,8 +208,8 @@ class PrefixTableCodec:
         else:
             ids = self.word_ids(word)
             out = (",".join(map(str, ids)), len(ids), self.decoded(ids))
-        if len(self.cache) >= KEPT_WORDS:
-            for old in list(self.cache)[: KEPT_WORDS // 2]:
+        if len(self.cache) >= self.most:
+            for old in list(self.cache)[: self.most // 2]:
                 del self.cache[old]
         self.cache[word] = out
         return out
@@ -224,10 +227,13 @@ class PrefixTableCodec:
         """Decimal ids joined by commas, by word; their number; the decoded text."""
         if not text:
             return [], 0, ""
-        cache, out = self.cache, []
-        for w in _WORDS.findall(SPACE_MARK + text.replace(" ", SPACE_MARK)):
-            got = cache.get(w)
-            out.append(got if got is not None else self.kept(w))
+        words = _WORDS.findall(SPACE_MARK + text.replace(" ", SPACE_MARK))
+        try:
+            out = list(map(self.cache.__getitem__, words))
+        except KeyError:
+            known = {w: self.kept(w) for w in set(words).difference(self.cache)}
+            # a word that was kept may have made room for these
+            out = [known.get(w) or self.cache.get(w) or self.kept(w) for w in words]
         ids, sizes, texts = zip(*out, strict=True)
         return ids, sum(sizes), "".join(texts)[1:]
 
@@ -238,20 +244,24 @@ _CODECS: dict[str, PrefixTableCodec] = {}
 
 
 def codec(model_path: str) -> PrefixTableCodec:
-    """One codec of a model for each worker, which keeps it from task to task; words and pairs are kept for one task."""
+    """One codec of a model for each worker, which keeps it from task to task."""
     if model_path not in _CODECS:
         _CODECS[model_path] = PrefixTableCodec(model_path)
     return _CODECS[model_path]
 
 
-def encode_documents(docs: DataFrame, model_path: str, digests: bool = True) -> DataFrame:
-    """doc_id, n_tokens and, with digests, ids_sha256 and decoded_sha256, else ids and decoded."""
+def encode_documents(docs: DataFrame, model_path: str, digests: bool = True, keep_words: bool = True) -> DataFrame:
+    """doc_id, n_tokens and, with digests, ids_sha256 and decoded_sha256, else ids and decoded.
+
+    keep_words: whether a worker keeps encoded words from task to task, which is quicker but takes memory that other stages
+    of a pipeline may want.
+    """
     extra = [("ids_sha256", pa.string()), ("decoded_sha256", pa.string())] if digests else [("ids", pa.list_(pa.int32())), ("decoded", pa.string())]
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), *extra])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model_path)
-        own.forget()
+        own.most = KEPT_WORDS if keep_words else KEPT_BRIEFLY
         for batch in batches:
             counts, a, b = [], [], []
             for value in batch.column(1):
@@ -265,7 +275,8 @@ def encode_documents(docs: DataFrame, model_path: str, digests: bool = True) ->
                     a.append([int(x) for x in joined.split(",") if x])
                     b.append(text)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(a, schema.field(2).type), pa.array(b, pa.string())], schema=schema)
-        own.forget()
+        if not keep_words:
+            own.forget()
 
     kinds = "ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string"
     return ensure_columns(docs, doc_id="long", text="string").mapInArrow(trimmed(run), f"doc_id long, n_tokens long, {kinds}")
