@@ -36,7 +36,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and digests of the ids and of what they decode to."""
-    return sentencepiece_codec.encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return sentencepiece_codec.encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model"), keep_words=False)
 
 
 STAGES = [
