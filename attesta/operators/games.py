@@ -93,14 +93,19 @@ def opening_match(lines: DataFrame, openings: DataFrame) -> DataFrame:
     return found.groupBy("event_id").agg(F.max_by("opening", F.struct("n", "opening")).alias("opening"), F.max("n").alias("plies"))
 
 
-def player_search(players: DataFrame, queries: DataFrame, limit: int = 600) -> DataFrame:
-    """Players (player_id, name, games) whose names hold every letter and digit of a query of two or more."""
+def player_search(players: DataFrame, queries: DataFrame, limit: int | None = 600) -> DataFrame:
+    """Players (player_id, name, games) whose names hold every letter and digit of a query of two or more; all of them without a limit.
+
+    Queries are sent to all tasks, players stay where they are.
+    """
     letters = F.array_distinct(F.filter(F.split(F.lower("query"), ""), lambda c: c.rlike("[a-z0-9]")))
     q = queries.select("query", letters.alias("letters")).filter(F.size("letters") >= 2)
     n = players.withColumn("has", F.array_distinct(F.split(F.lower("name"), "")))
     # one letter of the query finds the candidates, the others decide
-    rows = q.withColumn("letter", F.element_at("letters", 1)).join(n.withColumn("letter", F.explode("has")), "letter")
+    rows = n.withColumn("letter", F.explode("has")).join(F.broadcast(q.withColumn("letter", F.element_at("letters", 1))), "letter")
     rows = rows.filter(F.size(F.array_except("letters", "has")) == 0)
+    if limit is None:
+        return rows.select("query", "player_id", "name", "games")
     place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("games"), "player_id"))
     return rows.withColumn("place", place).filter(F.col("place") <= limit).select("query", "player_id", "name", "games")
 
