@@ -27,13 +27,25 @@ def concept_members(consensus: DataFrame, concepts: DataFrame, kinds: dict[str,
 
 
 def concept_peers(consensus: DataFrame, words: DataFrame, types: list[bytes], limit: int = 24) -> DataFrame:
-    """Words that share a concept with each word (word): the number shared and the best of the weaker links."""
-    links = _links(consensus, types, "word", "concept").select("word", "concept", "mu")
-    mine = links.join(words.select("word").distinct(), "word", "left_semi")
-    others = links.select(F.col("word").alias("peer"), "concept", F.col("mu").alias("peer_mu"))
-    rows = mine.join(others, "concept").filter("peer <> word").groupBy("word", "peer").agg(F.countDistinct("concept").alias("shared"), F.max(F.least("mu", "peer_mu")).alias("strength"))
-    place = F.row_number().over(Window.partitionBy("word").orderBy(F.desc("shared"), F.desc("strength"), "peer"))
-    return rows.withColumn("place", place).filter(F.col("place") <= limit).drop("place")
+    """Words that share a concept with each word (word): the number shared and the best of the weaker links.
+
+    Words with the same concepts and ratings (a profile) have the same peers but for themselves. So profiles meet instead of
+    words, and each hands on its first limit + 1 words only; what is quadratic is a concept's number of distinct profiles.
+    """
+    links = _links(consensus, types, "word", "concept").groupBy("word", "concept").agg(F.max("mu").alias("mu"))
+    profiles = links.groupBy("word").agg(F.sort_array(F.collect_list(F.struct("concept", "mu"))).alias("profile"))
+    rank = F.row_number().over(Window.partitionBy("profile").orderBy("word"))
+    first = profiles.withColumn("rank", rank).filter(F.col("rank") <= limit + 1).groupBy("profile").agg(F.sort_array(F.collect_list("word")).alias("first"))
+    mine = profiles.join(words.select("word").distinct(), "word", "left_semi")
+    own = mine.select("profile").distinct().select("profile", F.inline("profile"))
+    others = first.select(F.col("profile").alias("other"), "first", F.inline("profile")).withColumnRenamed("mu", "peer_mu")
+    # words of the first list of a profile stand for all of them, also where the profile meets itself
+    meets = own.join(others, "concept").groupBy("profile", "other").agg(F.count("*").alias("shared"), F.max(F.least("mu", "peer_mu")).alias("strength"), F.first("first").alias("first"))
+    peers = meets.select("profile", "shared", "strength", F.explode("first").alias("peer"))
+    place = F.row_number().over(Window.partitionBy("profile").orderBy(F.desc("shared"), F.desc("strength"), "peer"))
+    best = peers.withColumn("place", place).filter(F.col("place") <= limit + 1).groupBy("profile").agg(F.sort_array(F.collect_list(F.struct("place", "peer", "shared", "strength"))).alias("best"))
+    left = F.slice(F.filter("best", lambda x: x["peer"] != F.col("word")), 1, limit)
+    return mine.join(best, "profile").select("word", F.explode(left).alias("x")).select("word", "x.peer", "x.shared", "x.strength")
 
 
 def translations(consensus: DataFrame, words: DataFrame, sense: list[bytes], languages: DataFrame, same: bool = False, to: str | None = None, limit: int = 24) -> DataFrame:
