@@ -202,6 +202,8 @@ def _send_anchors(groups: int):
             few = np.argsort(own.s["key"], kind="stable")[:SAMPLE]
             for at in own.s["anchor"][few].tolist():
                 rows.append(_row(chunk, _SAMPLE, chunk % groups, own.data[at : at + K].tobytes()))
+            del own, keys, several, group, order
+        give_back()
         return _table(rows)
 
     return run
@@ -215,6 +217,15 @@ def _leading(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
+def _leading_all(data: np.ndarray) -> np.ndarray:
+    """_leading of every place, with zeros behind the end."""
+    out = np.zeros(len(data), np.uint64)
+    for k in range(8):
+        out <<= np.uint64(8)
+        out[: max(0, len(data) - k)] |= data[k:]
+    return out
+
+
 def _several(table: pa.Table) -> pa.Table:
     """A group's anchors: back to each chunk go those that another chunk has too."""
     rows = [tuple(r.values()) for r in table.filter(pc.equal(table["kind"], _SAMPLE)).to_pylist()]
@@ -301,29 +312,41 @@ def _send_suffixes(splitters: list[bytes]):
                 sizes = last[these] - first[these] + LENGTH
                 at = np.repeat(first[these] - np.append(0, np.cumsum(sizes)[:-1]), sizes) + np.arange(sizes.sum())
                 rows.append(_row(chunk, _SUFFIX, int(g), these.astype(np.uint32).tobytes(), pack.compress(own.data[at].tobytes()), pack.compress(np.concatenate([sizes.astype(np.int64), own.least[these]]).tobytes())))
+            del own, one, first, last, anchor, to, order
+        give_back()
         return _table(rows)
 
     return run
 
 
+def _places(n: int) -> type[np.signedinteger]:
+    """The smallest kind of numbers for n places: what sorts a bucket is most of a worker's memory."""
+    return np.int32 if n < 1 << 31 else np.int64
+
+
 def equal_strings(n: int, steps: int, word: Callable[[int, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Multikey quicksort of n strings by one word after the other: places of strings that have an equal, and their runs.
 
     word(k, at) are the k-th words of the strings at some places; only those that are equal so far are asked for.
     """
-    at, run = np.arange(n), np.zeros(n, np.int64)
+    small = _places(n)
+    at, run = np.arange(n, dtype=small), np.zeros(n, small)
     for k in range(steps):
         w = word(k, at)
         order = np.argsort(w)
-        rank = np.empty(len(at), np.int64)
-        rank[order] = np.cumsum(np.append(False, w[order[1:]] != w[order[:-1]]))[: len(at)]
+        w = w[order]
+        rank = np.empty(len(at), small)
+        rank[order] = np.cumsum(np.append(False, w[1:] != w[:-1]), dtype=small)[: len(at)]
+        del w
         # by run, then by rank: two sorts of plain numbers are quicker than one of pairs
-        key = run << 32 | rank
+        key = run.astype(np.int64) << 32 | rank
+        del rank
         order = np.argsort(key) if run.any() else order
         at, key = at[order], key[order]
         new = np.ones(len(at), bool)
         new[1:] = key[1:] != key[:-1]
-        run = np.cumsum(new) - 1
+        del key, order
+        run = np.cumsum(new, dtype=small) - small(1)
         keep = np.bincount(run)[run] > 1 if len(run) else np.zeros(0, bool)
         at, run = at[keep], run[keep]
         if not len(at):
@@ -341,10 +364,11 @@ def _sort(table: pa.Table) -> pa.Table:
     sizes, least = np.concatenate([m[0] for m in meta]), np.concatenate([m[1] for m in meta])
     begin = np.cumsum(sizes) - sizes
     many = sizes - LENGTH + 1
-    owner = np.repeat(np.arange(len(sizes)), many)
-    place = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)
-    start = begin[owner] + place
-    eight = _leading(np.concatenate([data, np.zeros(8, np.uint8)]), np.arange(len(data)))
+    small = _places(len(data))
+    owner = np.repeat(np.arange(len(sizes), dtype=small), many)
+    place = np.arange(len(owner), dtype=small) - np.repeat((np.cumsum(many) - many).astype(small), many)
+    start = begin.astype(small)[owner] + place
+    eight = _leading_all(data)
     steps = (*range(0, LENGTH - 8, 8), LENGTH - 8)
     at, run = equal_strings(len(start), len(steps), lambda k, at: eight[start[at] + steps[k]])
     rows = []
