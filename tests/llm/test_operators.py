@@ -8,7 +8,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from attesta.llm import components, jaccard_join, langid, mixing, pitman_yor, quality, sentencepiece_codec, suffix_dedup, token_files, topk, toxicity
+from attesta.llm import components, jaccard_join, langid, mixing, pitman_yor, quality, queries, sentencepiece_codec, suffix_dedup, token_files, topk, toxicity
 
 from . import brute
 
@@ -268,6 +268,40 @@ def test_seating_is_what_whole_sweeps_reach():
     assert huge == pytest.approx([1 + 5 / 0.7, 2], rel=1e-3)
 
 
+def test_seatings_are_drawn_from_their_law():
+    luck = (np.arange(5000) + 0.5) / 5000
+    for c, m in [(2, 1.0), (5, 0.01), (63, 3.0), (200, 2.0), (1000, 10.0), (9000, 100.0), (500, 200.0)]:
+        w = np.array([0.0, 1.0])
+        for n in range(1, c):
+            w = np.append(w * np.maximum(n - 0.7 * np.arange(len(w)), 0), 0) + np.append(0, w * m)
+            w /= w.sum()
+        mean = w @ np.arange(len(w))
+        t = pitman_yor.draw(np.full(5000, c), np.full(5000, m), 0.7, luck)
+        assert t.mean() == pytest.approx(mean, rel=0.006)
+        assert t.std() == pytest.approx(np.sqrt(w @ (np.arange(len(w)) - mean) ** 2), rel=0.02)
+    # sweeps of a restaurant of two customers with strength 1, whose parent has the dish with 0.3
+    n, rng, d = 20_000, np.random.default_rng(2), 0.7
+    c, t, keys = np.full(n, 2), np.ones(n, np.int64), np.arange(n, dtype=np.uint64)
+    for k in range(15):
+        new = d * pitman_yor.rate(t, 1.0, d, keys, 100 + k)
+        t = pitman_yor.move(c, t, new * 0.3, d, rng.random(n), rng.random(n))
+    one, two = (1 - d) * 0.3, (1 + d) * 0.3**2
+    assert t.mean() == pytest.approx((one + 2 * two) / (one + two), abs=0.012)
+
+
+def test_language_model_samples_its_seating(spark, nasty, monkeypatch):
+    """The query's scores come from sweeps; a dish is seated alike in all chunks, so that chunks don't matter."""
+    scores = lambda **k: {r.doc_id: r.score for r in pitman_yor.score_documents(nasty, **k).collect()}
+    start, swept = scores(), scores(sweeps=1)
+    assert all(x <= 0 for x in swept.values()) and sum(abs(swept[i] - start[i]) for i in start) > 1
+    monkeypatch.setattr(pitman_yor, "CHUNKS", 5)
+    assert scores(sweeps=1) == pytest.approx(swept, rel=1e-9)
+    asked = []
+    monkeypatch.setattr(pitman_yor, "score_documents", lambda docs, **k: asked.append(k))
+    queries.QUERIES["op4_language_model"](spark, "/root/testdata/sf0.001")
+    assert asked[0]["sweeps"] >= 1
+
+
 # --- 5, 8
 
 
