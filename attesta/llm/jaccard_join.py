@@ -330,12 +330,13 @@ def _bands(threshold: int):
 def _family_links(post: DataFrame, classes: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
     """(v, family) of classes with a frequent prefix n-gram, and what links within families as rows of _cell.
 
+    post: v and c, the smallest class of the n-gram, for each class with a frequent prefix n-gram.
+
     A family is what frequent n-grams hold together. Its classes are cut into bands of sizes, and these into blocks by a
     hash; two blocks of one band, or of bands next to each other, meet in a task of their own, where pairs are counted by
     matrix products; what goes out of a task is one row a class at most. Other bands can't link and never meet.
     """
-    centre = post.groupBy("gram").agg(F.min("v").alias("c"))
-    hubs = post.join(stage(centre, "jaccard-centres"), "gram").filter("v <> c").select(F.col("c").alias("a"), F.col("v").alias("b")).distinct()
+    hubs = post.filter("v <> c").select(F.col("c").alias("a"), F.col("v").alias("b")).distinct()
     family = stage(components(hubs).withColumnRenamed("comp", "family"), "jaccard-families")
     banded = family.join(classes.select("v", "n"), "v").withColumn("band", _bands(threshold))
     size = banded.groupBy("family", "band").agg(F.count("*").alias("m"))
@@ -375,10 +376,12 @@ def similar_classes(docs: DataFrame, n: int = N, threshold: int = THRESHOLD) ->
     one = gathered.filter("shared is not null").groupBy("sign").agg(F.first("n").alias("n"), F.first("shared").alias("shared"))
     classes = stage(one.select(F.monotonically_increasing_id().alias("v"), "n", "sign", "shared"), "jaccard-classes")
     post = stage(classes.select("v", "n", "shared").mapInArrow(_postings(threshold), "gram long, v long, n long, at long"), "jaccard-postings")
-    many = stage(post.groupBy("gram").agg(F.count("*").alias("m")).filter("m > 1"), "jaccard-counts")
-    family, inside = _family_links(post.join(many.filter(F.col("m") > FREQUENT), "gram", "left_semi"), classes, threshold)
+    # one row for each n-gram: joins with it have a posting's rows at most, however many of them are frequent
+    grams = post.groupBy("gram").agg(F.count("*").alias("m"), F.min("v").alias("c")).filter("m > 1")
+    post = stage(post.join(stage(grams, "jaccard-grams"), "gram"), "jaccard-met")
+    family, inside = _family_links(post.filter(F.col("m") > FREQUENT), classes, threshold)
     inside = stage(inside, "jaccard-links")
-    rare = post.join(many.filter(F.col("m") <= FREQUENT), "gram", "left_semi").join(family, "v", "left")
+    rare = post.filter(F.col("m") <= FREQUENT).join(family, "v", "left")
     side = lambda x: rare.select("gram", F.col("v").alias(x), F.col("n").alias(f"n{x}"), F.col("at").alias(f"at_{x}"), F.col("family").alias(f"f{x}"))
     fits = (F.col("a") < F.col("b")) & (100 * F.col("nb") >= threshold * F.col("na")) & (100 * F.col("na") >= threshold * F.col("nb"))
     met = side("a").join(side("b"), "gram").filter(fits & ~F.coalesce(F.col("fa") == F.col("fb"), F.lit(False)))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import crc32_mod, ensure_columns, trimmed
+from .common import crc32_mod, ensure_columns, give_back, trimmed
 
 ORDER = 4
 #: Sampled documents a language at most.
@@ -237,6 +237,8 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS, further: int = CALIBRATION_RO
     for r in more.mapInArrow(_measurer(spark, model), "lang string, luck double, z double").groupBy("lang", "luck").agg(F.max("z").alias("z")).collect():
         left_out[r.lang].append(r.z)
     model.limits = np.array([limit(np.array(left_out[lang])) for lang in model.langs])
+    del found, models, left_out
+    give_back()  # the driver's process lives on, too
     return model
 
 

@@ -302,6 +302,28 @@ def test_language_model_samples_its_seating(spark, nasty, monkeypatch):
     assert asked[0]["sweeps"] >= 1
 
 
+# --- 10 and the pipeline
+
+
+def test_postings_meet_their_ngrams_once(nasty, monkeypatch):
+    """Frequent and rare n-grams are told apart by a column, not by a join of all postings for each."""
+    plans, stage = [], jaccard_join.stage
+
+    def noted(df, *args, **kinds):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return stage(df, *args, **kinds)
+
+    monkeypatch.setattr(jaccard_join, "stage", noted)
+    jaccard_join.join_documents(nasty)
+    assert plans and not any("LeftSemi" in p for p in plans)
+
+
+def test_training_gives_the_drivers_memory_back(spark, sf_dir, monkeypatch):
+    given = []
+    monkeypatch.setattr(langid, "give_back", lambda: given.append(1))
+    assert langid.train(spark.read.parquet(f"{sf_dir}/documents.parquet")) and given
+
+
 # --- 5, 8
 
 
