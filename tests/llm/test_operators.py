@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -302,6 +303,19 @@ def test_language_model_samples_its_seating(spark, nasty, monkeypatch):
     assert asked[0]["sweeps"] >= 1
 
 
+def test_language_model_passes_are_lean():
+    """Passes over a chunk read tokens, not texts; a pair of many chunks is answered in the same few bits as one of two."""
+    docs = pa.table({"doc_id": [7, 3, None], "text": ["a b a b", None, "B"], "chunk": pa.array([5] * 3, pa.int32()), "train": [True, False, True]})
+    row = pitman_yor._tokenise(docs)
+    own = pitman_yor._Chunk(row, 3)
+    assert len(row) == 1 and own.chunk == 5 and own.doc_id.to_pylist() == [3, 7, None]
+    assert own.sizes.tolist() == [1, 5, 2] and own.held_out.to_pylist() == [True, False, False]
+    assert sorted(own.word_count.tolist()) == [2, 2, 3] and len(own.pair.keys) == 6 and own.pair_count.sum() == 7
+    keys, counts = pitman_yor._pack_keys(np.array([5 << 16], np.uint64)), pitman_yor._pack_counts(np.array([2]))
+    told = [pitman_yor._counts(x)[0] for x in pitman_yor._add_counts(pitman_yor._table([(k, pitman_yor._PAIR, 0, 0, 0.0, keys, counts) for k in range(300)]))["b"].to_pylist()]
+    assert told == [5] + [4] * 299
+
+
 # --- 10 and the pipeline
 
 
