@@ -34,6 +34,8 @@ from .common import ensure_columns, input_bytes, shared_dir, sized
 
 SHARD_BYTES = 12 << 20
 KEPT_WORDS = 1_000_000
+#: So many words of texts in a row are looked up at once.
+TOGETHER = 50_000
 #: White space of Unicode, which splits a text where no token crosses: before the first of a run.
 _WS = "".join(map(chr, [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 _WORDS = re.compile(f"[{_WS}]*[^{_WS}]+|[{_WS}]+")
@@ -53,11 +55,20 @@ class CachedTokenizer:
         self.wide = self.library.get_vocab_size() > 1 << 16
         self.type = np.dtype("<u4" if self.wide else "<u2")
         self.cache: dict[str, bytes] = {}
+        #: Bytes of each token, as a byte-level vocabulary spells a byte as a letter.
+        self.width: np.ndarray | None = None
 
-    def learn(self, words: list[str]) -> None:
-        """Keep words that aren't kept yet. A mark right after a letter is never in one token with it, so that the many
+    def learn(self, words: set[str]) -> None:
+        """Keep those of the words that aren't kept yet, once more if others had to go for them."""
+        new = words.difference(self.cache)
+        if self._learn(list(new)):
+            self._learn(list(words.difference(self.cache)))
+
+    def _learn(self, words: list[str]) -> bool:
+        """Keep words that aren't kept yet; whether others had to go. A mark right after a letter is never in one token with it, so that the many
         words with a mark behind are put together from the word and the mark."""
-        if len(self.cache) + len(words) > KEPT_WORDS:
+        full = len(self.cache) + len(words) > KEPT_WORDS
+        if full:
             for old in list(self.cache)[: max(KEPT_WORDS // 2, len(words))]:
                 del self.cache[old]
         cache, joined, plain = self.cache, [], []
@@ -67,24 +78,75 @@ class CachedTokenizer:
             else:
                 plain.append(w)
         plain += {x for w in joined for x in (w[:-1], w[-1]) if x not in cache}.difference(plain)
+        plain = self._in_rows(plain)
         code = "I" if self.wide else "H"
         for w, got in zip(plain, self.library.encode_batch_fast(plain, add_special_tokens=False), strict=True):
             cache[w] = array(code, got.ids).tobytes()
         for w in joined:
             cache[w] = cache[w[:-1]] + cache[w[-1]]
+        return full
+
+    def _in_rows(self, words: list[str]) -> list[str]:
+        """Keep words that follow white space, encoded one behind the other: no token crosses from one to the next, and the bytes
+        of tokens tell where each word ends. The words that are left to encode one by one."""
+        rest, rows = [], []
+        for w in words:
+            (rows if w[0] in _WS and w[-1] not in _WS else rest).append(w)
+        if len(rows) < 2:
+            return words
+        if self.width is None:
+            vocabulary = self.library.get_vocab()
+            self.width = np.zeros(max(vocabulary.values()) + 1, np.int64)
+            self.width[list(vocabulary.values())] = [len(t) for t in vocabulary]
+        for at in range(0, len(rows), 20_000):
+            some = rows[at : at + 20_000]
+            texts = ["".join(some[i : i + 200]) for i in range(0, len(some), 200)]
+            got = [array("I", x.ids) for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+            ids = np.concatenate([np.frombuffer(x, np.uint32) for x in got])
+            ends, want = np.cumsum(self.width[ids]), np.cumsum([len(w.encode()) for w in some])
+            cut = np.searchsorted(ends, want)
+            if len(ids) == 0 or ends[-1] != want[-1] or (ends[cut] != want).any() or any(mark in t for t in texts for mark in self.marks):
+                rest += some  # a tokenizer whose tokens aren't the text's bytes
+                continue
+            raw, size, start = ids.astype(self.type).tobytes(), self.type.itemsize, 0
+            for w, end in zip(some, ((cut + 1) * size).tolist(), strict=True):
+                self.cache[w] = raw[start:end]
+                start = end
+        return rest
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """encode() of each text; the new words of many texts are found and learnt at once."""
+        out: list[bytes] = [b""] * len(texts)
+        held: list[tuple[int, list[str]]] = []
+        size = 0
+        for i, text in enumerate(texts):
+            if any(mark in text for mark in self.marks):
+                out[i] = self.encode(text)
+            else:
+                held.append((i, _WORDS.findall(text)))
+                size += len(held[-1][1])
+            if held and (size > TOGETHER or i == len(texts) - 1):
+                if len(held) > 1:
+                    self.learn(set().union(*(words for _, words in held)))
+                    for k, words in held:
+                        out[k] = self._joined(words)
+                else:
+                    out[held[0][0]] = self._plain(held[0][1])
+                held, size = [], 0
+        return out
 
     def encode(self, text: str) -> bytes:
         if any(mark in text for mark in self.marks):
             # the pieces at odd places are the added tokens themselves
             parts = self.added.split(text)
-            return b"".join(self._alone(part) if k % 2 else self._plain(part) for k, part in enumerate(parts))
-        return self._plain(text)
-
-    def _plain(self, text: str) -> bytes:
-        words, out = _WORDS.findall(text), []
-        for at in range(0, len(words), 50_000):
-            some = words[at : at + 50_000]
-            self.learn(list(set(some).difference(self.cache)))
+            return b"".join(self._alone(part) if k % 2 else self._plain(_WORDS.findall(part)) for k, part in enumerate(parts))
+        return self._plain(_WORDS.findall(text))
+
+    def _plain(self, words: list[str]) -> bytes:
+        out = []
+        for at in range(0, len(words), TOGETHER):
+            some = words[at : at + TOGETHER]
+            self.learn(set(some))
             out.append(self._joined(some))
         return b"".join(out)
 
@@ -148,13 +210,16 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int) -> None:
         end = np.array([end_id], own.type).tobytes()
         for batch in batches:
             held, size = [], 0
-            for i, (doc_id, text) in enumerate(zip(batch.column(0), batch.column(1), strict=True)):
-                held.append(frame(doc_id.as_py(), own.encode(text.as_py() or "") + end))
-                size += len(held[-1])
-                if size > 4 << 20 or i == len(batch) - 1:
-                    # the writer ends each row with the frame's last byte
-                    yield pa.RecordBatch.from_arrays([pa.array([b"\n".join(held)], pa.binary())], names=["frames"])
-                    held, size = [], 0
+            for at in range(0, len(batch), 200):  # texts as Python strings take several times their bytes
+                some = batch.slice(at, 200)
+                texts = [text or "" for text in some.column(1).to_pylist()]
+                for i, (doc_id, ids) in enumerate(zip(some.column(0).to_pylist(), own.encode_all(texts), strict=True), at):
+                    held.append(frame(doc_id, ids + end))
+                    size += len(held[-1])
+                    if size > 4 << 20 or i == len(batch) - 1:
+                        # the writer ends each row with the frame's last byte
+                        yield pa.RecordBatch.from_arrays([pa.array([b"\n".join(held)], pa.binary())], names=["frames"])
+                        held, size = [], 0
 
     ordered.mapInArrow(run, "frames binary").select(F.col("frames").cast("string")).write.option("lineSep", "\n").text(f"{path}/shards")
 

@@ -421,6 +421,18 @@ def test_added_tokens_are_the_librarys():
 # --- 7
 
 
+def test_new_words_are_encoded_in_rows(monkeypatch):
+    """Texts together give the library's ids, also when kept words are pushed out; few calls encode many new words."""
+    own = token_files.CachedTokenizer(BYTES)
+    texts = ["", " ", "one two", " one\n\n two  three ", "a<|endoftext|> b c", *(f"é{k} w{k}x, v{k}.  u{k}" for k in range(500))]
+    want = [own.library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(x, own.type).tolist() for x in own.encode_all(texts)] == want
+    assert own.width is not None and " u7" not in own._in_rows([" u7", " u8", "x"])
+    monkeypatch.setattr(token_files, "KEPT_WORDS", 700)
+    monkeypatch.setattr(token_files, "TOGETHER", 300)
+    assert [np.frombuffer(x, own.type).tolist() for x in own.encode_all(texts)] == want
+
+
 def test_mixing(nasty, odd, empty):
     got = mixing.mix(nasty).collect()
     assert len(got) == nasty.count() and all(0 <= r.prob <= 1 for r in got)
