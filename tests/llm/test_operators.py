@@ -316,6 +316,23 @@ def test_language_model_passes_are_lean():
     assert told == [5] + [4] * 299
 
 
+def test_language_model_sweeps_read_only_what_occurs_again():
+    """What occurs once has one customer and one table in every sweep, so sweeps are given the rest and sums of it."""
+    docs = pa.table({"doc_id": [1, 2, 3], "text": ["a b c", "a b d", "x y"], "chunk": pa.array([5] * 3, pa.int32()), "train": [True] * 3})
+    row = pitman_yor._tokenise(docs)
+    counts = pitman_yor._add_counts(pitman_yor._send_counts(1)(row))
+    kept = pitman_yor._keep(1)(row, counts).select(["chunk", "words", "kept", "first"])
+    root = pitman_yor._Root(11, 7, 4)
+    own = pitman_yor._Kept(kept, 1, root, 0)
+    assert sorted(own.count.tolist()) == [2, 2, 3] and own.pair_count.tolist() == [2, 2] and own.c3.tolist() == [2, 2]
+    assert own.pair_keys.tolist() == pitman_yor._pair_keys(own.word.keys, own.left, own.right).tolist()
+    sent = pitman_yor._send_customers(1, root, 0)(kept)
+    assert sent["x"].to_pylist()[-1] in (2.0, 3.0)  # tables before texts' first tokens: one or two of "a", one of "x"
+    told = pitman_yor._send_tables(1, root, 0)(kept, pitman_yor._add_customers(0)(sent))
+    assert len(told) == 2 and len(pitman_yor._keys(told["a"][0].as_py())) == 3
+
+
+
 # --- 10 and the pipeline
 
 
